@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lodestrata.llm import encoding, packing, splitting
+from lodestrata.llm import encoding, funcdocs, packing, splitting
 from lodestrata.session import table
 
 BATCH_ROWS = 1000
@@ -33,12 +32,21 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return p2_pieces(spark, sf).where("piece_no = 2").select("symbol_id")
 
 
+def p5_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    _bounded(spark)
+    return funcdocs.function_pairs(table(spark, sf, "symbols"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p5_pairs(spark, sf).select("symbol_id")
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     _bounded(spark)
     return encoding.encode_corpus(table(spark, sf, "documents"))
 
 
-QUERIES = {"p1_containers": p1_containers, "p1_report": p1_report, "p2_found": p2_found, "p2_pieces": p2_pieces, "p6_ids": p6_ids}
+QUERIES = {"p1_containers": p1_containers, "p1_report": p1_report, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_ids": p6_ids}
 
 ORACLE_SQL = {
     "p2_found": "SELECT DISTINCT symbol_id FROM symbols WHERE length(full_declaration) > 2000",
