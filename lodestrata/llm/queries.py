@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import encoding, funcdocs, packing, splitting
+from lodestrata.llm import encoding, funcdocs, leakage, packing, splitting
 from lodestrata.session import table
 
 BATCH_ROWS = 1000
@@ -46,7 +46,20 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, sf, "documents"))
 
 
-QUERIES = {"p1_containers": p1_containers, "p1_report": p1_report, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_ids": p6_ids}
+def p7_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    _bounded(spark)
+    return leakage.leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p7_leaks(spark, sf).select("doc_id", "item_id")
+
+
+def p7_report(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leak_report(p7_leaks(spark, sf))
+
+
+QUERIES = {"p1_containers": p1_containers, "p1_report": p1_report, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_report": p7_report}
 
 ORACLE_SQL = {
     "p2_found": "SELECT DISTINCT symbol_id FROM symbols WHERE length(full_declaration) > 2000",
