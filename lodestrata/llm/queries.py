@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import encoding, funcdocs, leakage, packing, splitting
+from lodestrata.llm import encoding, funcdocs, leakage, packing, splitting, truncation
 from lodestrata.session import table
 
 BATCH_ROWS = 1000
@@ -59,7 +59,20 @@ def p7_report(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leak_report(p7_leaks(spark, sf))
 
 
-QUERIES = {"p1_containers": p1_containers, "p1_report": p1_report, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_report": p7_report}
+def p8_cut(spark: SparkSession, sf: str) -> DataFrame:
+    _bounded(spark)
+    return truncation.truncated_documents(table(spark, sf, "documents"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_cut(spark, sf).select("doc_id")
+
+
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.truncation_report(table(spark, sf, "documents"), p8_cut(spark, sf))
+
+
+QUERIES = {"p1_containers": p1_containers, "p1_report": p1_report, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_report": p7_report, "p8_found": p8_found, "p8_cut": p8_cut, "p8_report": p8_report}
 
 ORACLE_SQL = {
     "p2_found": "SELECT DISTINCT symbol_id FROM symbols WHERE length(full_declaration) > 2000",
