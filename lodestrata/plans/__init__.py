@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ("core_problems",)
+NAMES = ("core_problems", "filters")
 
 
 def modules() -> list:
