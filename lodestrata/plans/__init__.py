@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ("core_problems", "filters")
+NAMES = ("core_problems", "filters", "joins")
 
 
 def modules() -> list:
