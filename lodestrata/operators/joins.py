@@ -73,27 +73,17 @@ def enclosing(points: DataFrame, spans: DataFrame, bucket: int = 256) -> DataFra
 def outermost(elements: DataFrame) -> DataFrame:
     """Elements (id, path, type, start_line, end_line) not strictly within another of their file; a struct within a struct or typedef stays.
 
-    Sorted by (start, -end) an element lies within an earlier one exactly if some earlier end reaches its own: running
-    maxima replace the pairwise test.
+    Sorted by (start, -end) a span lies within an earlier one exactly if some earlier end reaches its own: running maxima
+    replace the pairwise test. Equal spans don't contain each other; they sort side by side, so all of them take over
+    the maximum that the first of them sees.
     """
-    w = Window.partitionBy("path").orderBy("start_line", F.col("end_line").desc(), "id").rowsBetween(Window.unboundedPreceding, -1)
-    same = Window.partitionBy("path", "start_line", "end_line").orderBy("id")
-
-    def reach(cond: Column) -> Column:
-        """The furthest end among earlier elements that aren't the same span."""
-        own = F.struct("start_line", "end_line")
-        first = F.max(F.when(cond, F.col("end_line"))).over(w)
-        return F.coalesce(first, F.lit(-1)), own
-
-    others, _ = reach(~F.col("type").isin("structs", "typedefs"))
-    holders, _ = reach(F.col("type").isin("structs", "typedefs"))
-    rows = elements.withColumn("twin", F.row_number().over(same)).withColumn("spans", F.count("*").over(Window.partitionBy("path", "start_line", "end_line")))
-    # Equal spans don't contain each other: only ends of strictly larger spans count, which sort ahead of all twins.
-    lead = rows.withColumn("by_other", others).withColumn("by_holder", holders)
-    head = Window.partitionBy("path", "start_line", "end_line").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    lead = lead.withColumn("by_other", F.first("by_other").over(head)).withColumn("by_holder", F.first("by_holder").over(head))
-    inside = (F.col("by_other") >= F.col("end_line")) | ((F.col("by_holder") >= F.col("end_line")) & (F.col("type") != "structs"))
-    return lead.where(~inside).select(*elements.columns)
+    before = Window.partitionBy("path").orderBy("start_line", F.col("end_line").desc(), "id").rowsBetween(Window.unboundedPreceding, -1)
+    twins = Window.partitionBy("path", "start_line", "end_line").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    holds = F.col("type").isin("structs", "typedefs")
+    rows = elements.withColumn("_other", F.max(F.when(~holds, F.col("end_line"))).over(before)).withColumn("_holder", F.max(F.when(holds, F.col("end_line"))).over(before))
+    rows = rows.withColumn("_other", F.first("_other").over(twins)).withColumn("_holder", F.first("_holder").over(twins))
+    inside = (F.col("_other") >= F.col("end_line")) | ((F.col("_holder") >= F.col("end_line")) & (F.col("type") != "structs"))
+    return rows.where(~F.coalesce(inside, F.lit(False))).select(*elements.columns)
 
 
 def preceding_notes(targets: DataFrame, notes: DataFrame, most: int = 3, gap: int = 2) -> DataFrame:

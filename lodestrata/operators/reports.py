@@ -50,7 +50,7 @@ def merge_reports(left: DataFrame, right: DataFrame, key: str = "Source") -> Dat
 
 def tolerant_number(c: Column) -> Column:
     """A whole number from its text, from the text of a decimal number, else null [A12]."""
-    return F.coalesce(c.try_cast("long"), F.floor(c.try_cast("double")).cast("long"))
+    return F.when(F.trim(c).rlike(r"^[+-]?\d+$"), c.try_cast("long")).otherwise(F.floor(c.try_cast("double")).cast("long"))
 
 
 def improvement(before: Column, after: Column) -> Column:

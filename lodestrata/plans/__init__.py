@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ("core_problems", "filters", "joins")
+NAMES = ("core_problems", "filters", "joins", "groups", "graphs", "texts")
 
 
 def modules() -> list:

@@ -108,8 +108,8 @@ def dependency_document(symbols: DataFrame, edges: DataFrame, files: int | None
 
 def document_totals(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """(total_symbols, total_dependencies, total_files): the true file count."""
-    s = symbols.agg(F.countDistinct("key").alias("total_symbols"), F.countDistinct("path").alias("total_files"))
-    return s.join(F.broadcast(edges.agg(F.count("*").alias("total_dependencies"))))
+    both = symbols.select("key", "path").withColumn("dep", F.lit(0)).unionByName(edges.select(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("path"), F.lit(1).alias("dep")))
+    return both.agg(F.countDistinct("key").alias("total_symbols"), F.sum("dep").alias("total_dependencies"), F.countDistinct("path").alias("total_files"))
 
 
 SYMBOL_STRUCT = T.StructType(
