@@ -58,7 +58,7 @@ def k_hop(edges: DataFrame, starts: DataFrame, depth: int | None = 1, direction:
     else:
         if depth is None:
             raise RuntimeError(f"the walk didn't end within {most_rounds} rounds")
-    return seen if kinds is None else seen.join(kinds.select("node").distinct(), "node", "left_semi")
+    return seen if kinds is None else seen.join(kinds.select("node").distinct(), "node", "left_semi").select("start", "node", "depth")
 
 
 def closure_with_limit(edges: DataFrame, starts: DataFrame, kinds: DataFrame, most: int = 64) -> DataFrame:

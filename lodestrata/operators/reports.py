@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,18 +79,11 @@ def merged_groups(df: DataFrame, key: str, rules: list[tuple[Column, str]], drop
     return g.unionByName(rows.agg(*[F.sum(c).alias(c) for c in sums]).withColumns({key: F.lit(OVERALL), "place": F.lit(1)}))
 
 
-_PERCENT = None
-
-
 def percent_text(c: Column) -> Column:
     """``12.34%`` of a ratio, rounded from the binary number as Python does [F1]; for the last step of a report."""
-    global _PERCENT
-    if _PERCENT is None:
-        import pandas as pd
 
-        @F.pandas_udf("string")
-        def fmt(x: pd.Series) -> pd.Series:
-            return x.map(lambda v: None if v is None or v != v else f"{v * 100:.2f}%")
+    def fmt(x):
+        return x.map(lambda v: None if v is None or v != v else f"{v * 100:.2f}%")
 
-        _PERCENT = fmt
-    return _PERCENT(c)
+    fmt.__annotations__ = {"x": pd.Series, "return": pd.Series}
+    return F.pandas_udf(fmt, "string")(c)

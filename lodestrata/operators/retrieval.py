@@ -175,7 +175,7 @@ def heading_paragraphs(text: Column) -> Column:
         return F.when(opens, F.concat(acc, F.array(line))).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, F.lit("\n"), line))))
 
     parts = F.aggregate(lines, none, add)
-    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p.startswith("#"))
+    return F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p.startswith("#"))
 
 
 def experience_hits(vectors: DataFrame, queries: DataFrame, n: int, text: str, most_chars: int = 800) -> DataFrame:

@@ -23,7 +23,11 @@ def read_analysis_json(spark: SparkSession, path: str) -> DataFrame:
 
 def analysis_symbols(files: DataFrame) -> DataFrame:
     """(path, type, name, start_line, ..., comment): the symbols of files that were parsed; names may come as ``text`` or ``symbol``, nulls become defaults."""
-    lists = F.flatten(F.array(*[F.transform(F.coalesce(F.col(k), F.array().cast(f"array<{_SYMBOL}>")), lambda s, k=k: s.withField("type", F.coalesce(s["type"], F.lit(k)))) for k in _KINDS]))
+    def typed(kind: str) -> Column:
+        own = F.coalesce(F.col(kind), F.array().cast(f"array<{_SYMBOL}>"))
+        return F.transform(own, lambda s: s.withField("type", F.coalesce(s["type"], F.lit(kind))))
+
+    lists = F.flatten(F.array(*map(typed, _KINDS)))
     s = files.where("parse_success").select("path", F.explode(lists).alias("s"))
     ints = [F.coalesce(F.col(f"s.{c}"), F.lit(0)).alias(c) for c in ("start_line", "end_line", "start_byte", "end_byte")]
     texts = [F.coalesce(F.col(f"s.{c}"), F.lit("")).alias(c) for c in ("full_declaration", "full_definition", "comment")]
