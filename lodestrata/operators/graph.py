@@ -9,15 +9,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.model import DEP_TYPES
 from lodestrata.session import checkpointed
 
 MOST_ROUNDS = 200
 
 
 def file_edges(edges: DataFrame) -> DataFrame:
-    """(src_file, dst_file, n, calls, dep_types): distinct edges (src, dst, dep_type) between different files [A2]."""
+    """(src_file, dst_file, n, calls, dep_types): distinct edges (src, dst, dep_type) between different files [A2].
+
+    The types of a pair are gathered as bits, which a hash aggregate can hold; a type beyond the six known ones counts in n only.
+    """
     f = edges.select("src", "dst", "dep_type").distinct().select(F.split("src", ":", 3)[2].alias("src_file"), F.split("dst", ":", 3)[2].alias("dst_file"), "dep_type").where("src_file <> dst_file")
-    return f.groupBy("src_file", "dst_file").agg(F.count("*").alias("n"), F.count(F.when(F.col("dep_type") == "function_call", 1)).alias("calls"), F.array_sort(F.collect_set("dep_type")).alias("dep_types"))
+    kinds = sorted(DEP_TYPES)
+    bit = F.lit(0)
+    for i, kind in enumerate(kinds):
+        bit = F.when(F.col("dep_type") == kind, 1 << i).otherwise(bit)
+    g = f.groupBy("src_file", "dst_file").agg(F.count("*").alias("n"), F.count(F.when(F.col("dep_type") == "function_call", 1)).alias("calls"), F.bit_or(bit).alias("bits"))
+    listed = F.array_compact(F.array(*[F.when(F.col("bits").bitwiseAND(1 << i) != 0, F.lit(kind)) for i, kind in enumerate(kinds)]))
+    return g.select("src_file", "dst_file", "n", "calls", listed.alias("dep_types"))
 
 
 def degree_top(edges: DataFrame, k: int) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.model import key_of, normal_key
+from lodestrata.model import is_blank, key_of, normal_key
 
 SLOTS = 16
 
@@ -30,8 +30,8 @@ def reference_deltas(edges: DataFrame) -> DataFrame:
     Edges without recorded_at have no place in time and are left out.
     """
     ends = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("raw")) for s in ("source", "target")]))
-    e = edges.where("recorded_at is not null").select("edge_id", "recorded_at", _micros(F.col("recorded_at")).alias("at"), ends.alias("end"))
-    return e.select(normal_key(F.col("end.raw")).alias("key"), "at", "edge_id", F.col("end.side").alias("side"), "recorded_at").where("key is not null")
+    e = edges.where("recorded_at is not null").select("edge_id", "recorded_at", ends.alias("end")).where(~is_blank(F.col("end.raw")))
+    return e.select(normal_key(F.col("end.raw")).alias("key"), _micros(F.col("recorded_at")).alias("at"), "edge_id", F.col("end.side").alias("side"), "recorded_at")
 
 
 def existence_spans(symbols: DataFrame) -> DataFrame:

@@ -5,26 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.model import normal_key, normal_path, normal_type
+from lodestrata.model import is_blank, normal_key, normal_path, normal_type
 from lodestrata.plans.sqltext import key_sql, path_sql, type_sql
 from lodestrata.session import table
 
 
 def symbols(spark: SparkSession, sf: str, *extra: str) -> DataFrame:
     """(symbol_id, key, name, type, path, project, start_line, end_line, *extra): each symbol once."""
-    s = table(spark, sf, "symbols")
+    # Repeats are exact, so they go before any expression is worked out, by a hash aggregate.
+    s = table(spark, sf, "symbols").select("symbol_id", "symbol_key", "name", "type", "file_path", "project", "start_line", "end_line", *extra).distinct()
     return s.select(
         "symbol_id", normal_key(F.col("symbol_key")).alias("key"), "name", normal_type(F.col("type")).alias("type"), normal_path(F.col("file_path")).alias("path"),
         "project", "start_line", "end_line", *extra,
-    ).dropDuplicates(["symbol_id"])
+    )
 
 
 def edges(spark: SparkSession, sf: str, *extra: str) -> DataFrame:
     """(edge_id, src, dst, src_name, dst_name, dep_type, start_line, end_line, project, *extra): each edge with two keys once."""
-    e = table(spark, sf, "edges").select(
-        "edge_id", normal_key(F.col("source")).alias("src"), normal_key(F.col("target")).alias("dst"), "dep_type", "start_line", "end_line", "project", *extra
-    )
-    e = e.where("src is not null and dst is not null").dropDuplicates(["edge_id"])
+    e = table(spark, sf, "edges").select("edge_id", "source", "target", "dep_type", "start_line", "end_line", "project", *extra).distinct()
+    e = e.where(~is_blank(F.col("source")) & ~is_blank(F.col("target")))
+    e = e.select("edge_id", normal_key(F.col("source")).alias("src"), normal_key(F.col("target")).alias("dst"), "dep_type", "start_line", "end_line", "project", *extra)
     return e.withColumns({"src_name": F.substring_index("src", ":", 1), "dst_name": F.substring_index("dst", ":", 1)})
 
 
