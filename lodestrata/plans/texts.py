@@ -170,6 +170,37 @@ def _(spark, sf):
     return d.select("doc_id", "r.hits", "r.done")
 
 
+# Parser plug-in ------------------------------------------------------------------------------------------
+
+
+def _sources(spark, sf, kind, ext):
+    d = table(spark, sf, "documents").where(F.col("kind") == kind)
+    return d.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(ext)).alias("path"), "text")
+
+
+@query("x33_c_elements")
+def _(spark, sf):
+    from lodestrata.sources.parsers import parse_files
+
+    return parse_files(_sources(spark, sf, "c_source", ".c"))
+
+
+@query("s25_rust_items")
+def _(spark, sf):
+    from lodestrata.operators.windows import merge_impls
+    from lodestrata.sources.parsers import parse_files
+
+    items = parse_files(_sources(spark, sf, "rust_source", ".rs"))
+    return merge_impls(items.select(F.col("path").alias("file"), "name", F.col("type").alias("kind"), "start_line", "end_line", F.col("full_definition").alias("code")))
+
+
+@query("x36_function_counts", "SELECT doc_id, len(regexp_extract_all(text, '(?m)^(?:pub )?fn '))::BIGINT AS functions FROM documents WHERE kind = 'rust_source' AND text IS NOT NULL AND regexp_matches(text, '(?m)^(?:pub )?fn ')")
+def _(spark, sf):
+    d = table(spark, sf, "documents").where("kind = 'rust_source' and text is not null")
+    n = F.regexp_count("text", F.lit(r"(?m)^(?:pub )?fn "))
+    return d.select("doc_id", n.cast("bigint").alias("functions")).where("functions > 0")
+
+
 # Metrics ---------------------------------------------------------------------------------------------------
 
 
