@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from lodestrata.operators.predicates import metadata_filter
 
 QUERY_BLOCK = 2_000
+#: Numbers that a worker holds at once while it takes differences.
+DIFFERENCES = 4_000_000
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
@@ -51,15 +53,15 @@ def _nearest_block(vectors: DataFrame, shared, k: int) -> DataFrame:
             v = np.stack(b["embedding"].to_numpy()).astype(np.float64)
             vid = b["vec_id"].to_numpy(dtype=np.int64)
             d = np.empty((len(ids), len(v)))
-            for a in range(0, len(ids), 256):
-                d[a : a + 256] = ((q[a : a + 256, None, :] - v[None, :, :]) ** 2).sum(axis=2) if len(v) * q.shape[1] < 2_000_000 else np.maximum((q[a : a + 256] ** 2).sum(1)[:, None] - 2 * q[a : a + 256] @ v.T + (v**2).sum(1)[None, :], 0)
+            step = max(1, DIFFERENCES // v.size)
+            for a in range(0, len(ids), step):
+                d[a : a + step] = ((q[a : a + step, None, :] - v[None, :, :]) ** 2).sum(axis=2)
             d, i = np.concatenate([best_d, d], axis=1), np.concatenate([best_i, np.broadcast_to(vid, (len(ids), len(vid)))], axis=1)
             order = np.lexsort((i, d), axis=1)[:, :k]
             best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
         m = best_d.shape[1]
         yield pd.DataFrame({"query_id": np.repeat(ids, m).astype(np.int64), "vec_id": best_i.ravel(), "dist": best_d.ravel()})
 
-    # Small batches keep the block of differences within some MB.
     return vectors.select("vec_id", "embedding").mapInPandas(search, "query_id bigint, vec_id bigint, dist double")
 
 
