@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 from lodestrata.model import is_blank
 
+# Patterns of the published line and reference counts.
+INLINE_COMMENT = r"//.*|/\*.*?\*/"
+DOUBLE_QUOTED = r'"(?:\\"|.)*?"'
+SINGLE_QUOTED = r"'(?:\\'|.)*?'"
+SAFE_REFERENCE = r"&(?!mut\b)\w+|&\s*mut\s+\w+|\b(?:Cell|RefCell|String|str|Vec|Box)\b"
+RAW_POINTER_BEHIND_WORD = r"\b\*(?:const|mut)\b"
+
 
 def non_blank(c: Column) -> Column:
     """The text, or null if it is empty or blank."""
@@ -35,19 +42,18 @@ def strip_comment_marks(c: Column) -> Column:
 
 def scrub_code(line: Column) -> Column:
     """A code line without inline comments and the contents of literals [F3]."""
-    no_comment = F.regexp_replace(line, r"//.*|/\*.*?\*/", "")
-    no_strings = F.regexp_replace(no_comment, r'"(?:\\"|.)*?"', '""')
-    return F.regexp_replace(F.regexp_replace(no_strings, r"'(?:\\'|.)*?'", "''"), r"^\s+|\s+$", "")
+    no_strings = F.regexp_replace(F.regexp_replace(line, INLINE_COMMENT, ""), DOUBLE_QUOTED, '""')
+    return F.regexp_replace(F.regexp_replace(no_strings, SINGLE_QUOTED, "''"), r"^\s+|\s+$", "")
 
 
 def safe_ref_count(line: Column) -> Column:
     """Shared and mutable references and owning types [F4]."""
-    return F.regexp_count(line, F.lit(r"&(?!mut\b)\w+|&\s*mut\s+\w+|\b(?:Cell|RefCell|String|str|Vec|Box)\b"))
+    return F.regexp_count(line, F.lit(SAFE_REFERENCE))
 
 
 def unsafe_ref_count(line: Column) -> Column:
     """Raw pointers behind a word character only, as the published metrics count them [F5]."""
-    return F.regexp_count(line, F.lit(r"\b\*(?:const|mut)\b"))
+    return F.regexp_count(line, F.lit(RAW_POINTER_BEHIND_WORD))
 
 
 def raw_pointer_count(line: Column) -> Column:

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.text import strip_think, tool_call
 
+# What counts as a group and as a value of a value-only table.
+ROW_GROUP = r"\{([^{}]+)\}"
+ROW_VALUE = r"""("[^"]*"|'[^']*'|[^,"']+)"""
+
 _CAST = {"int": "bigint", "float": "double", "str": "string"}
 
 
@@ -21,11 +25,10 @@ def value_rows(text: Column, fields: dict[str, str]) -> Column:
     Values may be quoted, then commas belong to them. Groups with another number of values, or with a value that doesn't fit
     its type, are dropped; a closing comma is allowed.
     """
-    item = r"""("[^"]*"|'[^']*'|[^,"']+)"""
-    groups = F.regexp_extract_all(strip_think(text), F.lit(r"\{([^{}]+)\}"), F.lit(1))
+    groups = F.regexp_extract_all(strip_think(text), F.lit(ROW_GROUP), F.lit(1))
 
     def row(g: Column) -> Column:
-        raw = F.filter(F.transform(F.regexp_extract_all(g, F.lit(item), F.lit(1)), lambda x: F.trim(x)), lambda x: x != "")
+        raw = F.filter(F.transform(F.regexp_extract_all(g, F.lit(ROW_VALUE), F.lit(1)), lambda x: F.trim(x)), lambda x: x != "")
         return F.transform(raw, lambda x: F.regexp_replace(x, r"""^["']|["']$""", ""))
 
     rows = F.filter(F.transform(groups, row), lambda r: F.size(r) == len(fields))

@@ -216,4 +216,111 @@ def _(spark, sf):
     return d.select("key", F.coalesce(place, F.concat(F.col("dst_name"), F.lit(" -> not found"))).alias("location"))
 
 
+# Contexts ------------------------------------------------------------------------------------------------
+
+
+@query(
+    "j6_in_edge_snippets",
+    f"""WITH {V.edge_sql()}, t AS (SELECT file_path AS path, list_transform(generate_series(1, 3000), lambda i: file_path || ' ' || i) AS lines FROM (SELECT DISTINCT file_path FROM file_analysis)),
+        c AS (SELECT dst, edge_id, array_to_string(lines[start_line:least(coalesce(end_line, start_line), 3000)], chr(10)) AS snippet FROM edg JOIN t ON t.path = split_part(src, ':', 3) WHERE start_line IS NOT NULL AND start_line <= 3000 AND split_part(dst, ':', 2) = 'macros')
+        SELECT dst, md5(array_to_string(list(snippet ORDER BY edge_id), '|')) AS digest, count(*) AS n FROM c GROUP BY dst""",
+)
+def _(spark, sf):
+    from lodestrata.operators.context import in_edge_snippets
+
+    t = table(spark, sf, "file_analysis").select(F.col("file_path").alias("path")).distinct()
+    t = t.select("path", F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda i: F.concat(F.col("path"), F.lit(" "), i.cast("string"))).alias("lines"))
+    e = V.edges(spark, sf).where(F.split("dst", ":", 3)[1] == "macros")
+    return in_edge_snippets(e, t).select("dst", F.md5(F.array_join("snippets", "|")).alias("digest"), F.size("snippets").cast("bigint").alias("n"))
+
+
+def _reg(spark, sf):
+    return V.symbols(spark, sf).groupBy("key").agg(F.min("symbol_id").alias("reg_order"), F.first("name").alias("name"), F.first("path").alias("path"))
+
+
+@query(
+    "j7_batch_contexts",
+    f"""WITH {V.sym_sql()}, r AS (SELECT key, name, min(symbol_id) AS o FROM sym GROUP BY key, name), f AS (SELECT name, arg_min(key, (o, key)) AS key FROM r GROUP BY name),
+        i AS (SELECT DISTINCT batch_id AS batch, name FROM (SELECT batch_id, unnest(symbols).name AS name FROM symbol_batches))
+        SELECT DISTINCT batch, coalesce(f.key, i.name) AS key, f.key IS NOT NULL AS found, coalesce('of ' || f.key, '') AS text FROM i LEFT JOIN f ON f.name = i.name""",
+)
+def _(spark, sf):
+    from lodestrata.operators.context import batch_contexts
+
+    items = table(spark, sf, "symbol_batches").select(F.col("batch_id").alias("batch"), F.posexplode("symbols").alias("pos", "s")).select("batch", "pos", F.col("s.name").alias("ref"))
+    reg = _reg(spark, sf)
+    return batch_contexts(items, reg, reg.select("key", F.concat(F.lit("of "), F.col("key")).alias("text")))
+
+
+@query("j10_mapped_symbols", f"WITH {V.sym_sql()}, r AS (SELECT key, name, path, min(symbol_id) AS o FROM sym GROUP BY ALL) SELECT name, arg_min(key, (o, key)) AS key, arg_min(replace(path, '.c', '_c.rs'), (path, replace(path, '.c', '_c.rs'))) FILTER (ends_with(path, '.c')) AS target FROM r GROUP BY name HAVING bool_or(ends_with(path, '.c'))")
+def _(spark, sf):
+    from lodestrata.operators.context import mapped_symbols
+
+    reg = _reg(spark, sf)
+    m = reg.select("name", "path", F.when(F.col("path").endswith(".c"), F.replace("path", F.lit(".c"), F.lit("_c.rs"))).alias("target"))
+    return mapped_symbols(m, reg)
+
+
+@query(
+    "j12_reverse_dependencies",
+    f"WITH {V.sym_sql()}, {V.edge_sql()}, m AS (SELECT DISTINCT key, replace(path, '.c', '_c.rs') AS target FROM sym) SELECT DISTINCT a.target, b.target AS dep FROM edg JOIN m a ON a.key = src JOIN m b ON b.key = dst WHERE a.target <> b.target",
+)
+def _(spark, sf):
+    from lodestrata.operators.context import reverse_dependencies
+
+    m = V.symbols(spark, sf).select("key", F.replace("path", F.lit(".c"), F.lit("_c.rs")).alias("target")).distinct()
+    return reverse_dependencies(m.select("target").distinct(), m, V.edges(spark, sf))
+
+
+@query(
+    "j16_triple_lookup",
+    f"""WITH {V.sym_sql()}, {V.edge_sql()}, r AS (SELECT key, name, min(symbol_id) AS o FROM sym GROUP BY key, name), q AS (SELECT DISTINCT CASE edge_id % 3 WHEN 0 THEN dst WHEN 1 THEN dst_name ELSE '__' || upper(dst_name) END AS ref FROM edg),
+        a AS (SELECT name, arg_min(key, (o, key)) AS k FROM r GROUP BY name), b AS (SELECT lower(regexp_replace(name, '^_+', '')) AS low, arg_min(key, (o, key)) AS k FROM r GROUP BY 1)
+        SELECT ref, coalesce(r.key, a.k, b.k) AS key FROM q LEFT JOIN (SELECT DISTINCT key FROM r) r ON r.key = ref LEFT JOIN a ON a.name = ref LEFT JOIN b ON b.low = lower(regexp_replace(ref, '^_+', ''))""",
+)
+def _(spark, sf):
+    from lodestrata.operators.context import triple_lookup
+
+    k = F.col("edge_id") % 3
+    refs = V.edges(spark, sf).select(F.when(k == 0, F.col("dst")).when(k == 1, F.col("dst_name")).otherwise(F.concat(F.lit("__"), F.upper("dst_name"))).alias("ref"))
+    return triple_lookup(refs, _reg(spark, sf))
+
+
+@query(
+    "j18_dependency_context",
+    f"""WITH {V.sym_sql()}, {V.edge_sql()}, m AS (SELECT name, path, min(replace(path, '.c', '_c.rs') || '/' || name) AS target FROM sym GROUP BY ALL), n AS (SELECT name, arg_min(target, (path, target)) AS t2 FROM m GROUP BY name)
+        SELECT DISTINCT src AS start, dst AS node, coalesce(m.target, n.t2) AS target, 'fn ' || coalesce(m.target, n.t2) AS code FROM (SELECT DISTINCT src, dst, dst_name, split_part(dst, ':', 3) AS path FROM edg WHERE src <> dst) e
+        LEFT JOIN m ON m.name = dst_name AND m.path = e.path LEFT JOIN n ON n.name = dst_name WHERE coalesce(m.target, n.t2) IS NOT NULL""",
+)
+def _(spark, sf):
+    from lodestrata.operators.context import dependency_context
+
+    m = V.symbols(spark, sf).groupBy("name", "path").agg(F.min(F.concat(F.replace("path", F.lit(".c"), F.lit("_c.rs")), F.lit("/"), F.col("name"))).alias("target"))
+    hops = V.edges(spark, sf).select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).alias("depth")).distinct()
+    return dependency_context(hops, m, m.select("target", F.concat(F.lit("fn "), F.col("target")).alias("code")).distinct())
+
+
+@query("h9_fix_targets", f"WITH {V.sym_sql()}, a AS (SELECT path AS file, name, min((CASE WHEN type = 'functions' THEN 0 ELSE 1 END, symbol_id)) AS first_place FROM sym GROUP BY ALL) SELECT file, list(name ORDER BY first_place) AS names FROM a GROUP BY file")
+def _(spark, sf):
+    from lodestrata.operators.context import fix_targets
+
+    s = V.symbols(spark, sf).select(F.col("path").alias("file"), "name", F.col("symbol_id").alias("pos"), "type")
+    return fix_targets([s.where("type = 'functions'"), s.where("type <> 'functions'")])
+
+
+@query("h27_module_lines", f"WITH {V.sym_sql()}, m AS (SELECT DISTINCT regexp_extract(path, '^(.*)/', 1) AS dir, regexp_replace(regexp_extract(path, '([^/]+?)(?:\\.[^./]*)?$', 1), '[-.]', '_', 'g') AS m FROM sym) SELECT dir, string_agg('pub mod ' || CASE WHEN regexp_matches(m, '^\\d') THEN 'm_' || m ELSE m END || ';', chr(10) ORDER BY m) AS text FROM m GROUP BY dir")
+def _(spark, sf):
+    from lodestrata.operators.context import module_lines
+
+    return module_lines(V.symbols(spark, sf).select("path"))
+
+
+@query("h28_prompt_items", "SELECT DISTINCT batch_id AS \"group\", i AS idx, coalesce(nullif(symbols[i].name, ''), 'item_' || i) AS name, symbols[i].type AS content FROM (SELECT *, unnest(generate_series(1, len(symbols)))::INT AS i FROM symbol_batches)")
+def _(spark, sf):
+    from lodestrata.operators.context import prompt_items
+
+    b = table(spark, sf, "symbol_batches").dropDuplicates(["batch_id"]).select(F.col("batch_id").alias("group"), F.transform("symbols", lambda s: F.struct(s["name"].alias("name"), s["type"].alias("content"))).alias("i"))
+    return prompt_items(b, "i")
+
+
 QUERIES, ORACLE_SQL = Q, S

@@ -121,3 +121,19 @@ SYMBOL_STRUCT = T.StructType(
     + [T.StructField(c, T.IntegerType()) for c in ("start_line", "end_line", "start_byte", "end_byte")]
     + [T.StructField(c, T.StringType()) for c in ("full_declaration", "full_definition", "comment")]
 )
+
+
+def read_symbol_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(name, type, file): symbols from a JSON document whose root is a list of them or a map to them [S9]."""
+    row = "struct<name:string,type:string,file:string,file_path:string,source_path:string,path:string,symbol:string,id:string>"
+    text = spark.read.text(path, wholetext=True)
+    rows = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{row}>")).otherwise(F.map_values(F.from_json("value", f"map<string,{row}>")))
+    s = text.select(F.explode(rows).alias("s"))
+    return s.select(F.coalesce("s.name", "s.symbol", "s.id").alias("name"), "s.type", F.coalesce("s.file_path", "s.file", "s.source_path", "s.path").alias("file")).where("name is not null")
+
+
+def mapping_document(mapping: DataFrame) -> DataFrame:
+    """(key, value): mappings (c_name, c_path, rust_name, rust_path) as ``name|path`` texts, the form ``read_mapping_json`` reads [S18]."""
+    from lodestrata.functions.text import pair_encode
+
+    return mapping.select(pair_encode(F.col("c_name"), F.col("c_path")).alias("key"), pair_encode(F.col("rust_name"), F.col("rust_path")).alias("value"))
