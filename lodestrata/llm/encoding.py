@@ -122,7 +122,7 @@ class TrieEncoder:
         counts = np.fromiter(map(len, per_text), dtype=np.int64, count=len(per_text))
         if len(self.words) > MOST_WORDS:
             self.words, self.flat, self.starts = {}, [], [0]
-        if len(self.pairs) > 4 * MOST_WORDS:
+        if len(self.pairs) > 2 * MOST_WORDS:
             self.pairs = {}
         fresh = set()
         for ws in per_text:
