@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -36,12 +37,18 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Hand this package to the Python workers, once per application: they may not have it on their path."""
+    """Hand this package to the Python workers, once per application: they may not have it on their path.
+
+    The archive lies in the shared folder where that is a file path; Spark's file server takes it to the executors.
+    """
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="lodestrata-code-")) / "lodestrata.zip"
+    shared = re.sub(r"^file:(//)?(?=/)", "", checkpoint_folder(spark))
+    folder = Path(shared) / f"code-{sc.applicationId}" if shared.startswith("/") else Path(tempfile.mkdtemp(prefix="lodestrata-code-"))
+    folder.mkdir(parents=True, exist_ok=True)
+    archive = folder / "lodestrata.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
