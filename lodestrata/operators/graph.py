@@ -115,7 +115,7 @@ def components(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
 
 
 def _trimmed(edges: DataFrame) -> DataFrame:
-    """Edges on which cycles may lie: sources and sinks are peeled off until none is left."""
+    """Edges on which cycles may lie: sources and sinks are peeled off until none is left, or for MOST_ROUNDS rounds."""
     e = checkpointed(edges.where("src <> dst").select("src", "dst").distinct())
     n = e.count()
     for _ in range(MOST_ROUNDS):
@@ -128,37 +128,40 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     return e
 
 
-def strong_components(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def _coloured(edges: DataFrame, most_rounds: int | None) -> DataFrame:
+    """(node, c): the least node from which each node can be reached, itself included; one round per step of the longest way."""
+    colour = checkpointed(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("c", F.col("node")))
+    before, rounds = None, 0
+    while True:
+        now = colour.agg(F.sum(F.xxhash64("node", "c").cast("decimal(38,0)"))).first()[0]
+        if now == before:
+            return colour
+        if rounds == most_rounds:
+            raise RuntimeError(f"colours didn't settle within {most_rounds} rounds")
+        before, rounds = now, rounds + 1
+        pushed = edges.join(colour, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "c")
+        colour = checkpointed(colour.unionByName(pushed).groupBy("node").agg(F.min("c").alias("c")))
+
+
+def strong_components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(node, scc): strongly connected components of the edges, named by their least node; nodes on no cycle are their own [G7].
 
     Forward-backward colouring: after trimming, the least colour is pushed along edges until it settles; a node of colour c
     that reaches c backwards within the colour belongs to c's component; found components leave the graph, and the rest goes on.
+    Colours only fall and each round takes out a component, so the loops end; with ``most_rounds`` they raise beyond that many.
     """
     everyone = edges.select(F.col("src").alias("node")).union(edges.select("dst")).where("node is not null").distinct()
-    rest, found = _trimmed(edges), None
-    for _ in range(most_rounds):
-        if rest.isEmpty():
-            break
-        colour = checkpointed(rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct().withColumn("c", F.col("node")))
-        before = None
-        for _ in range(most_rounds):
-            pushed = rest.join(colour, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "c")
-            colour = checkpointed(colour.unionByName(pushed).groupBy("node").agg(F.min("c").alias("c")))
-            now = colour.agg(F.sum(F.xxhash64("node", "c").cast("decimal(38,0)"))).first()[0]
-            if now == before:
-                break
-            before = now
+    rest, found, rounds = _trimmed(edges), None, 0
+    while not rest.isEmpty():
+        if rounds == most_rounds:
+            raise RuntimeError(f"components didn't settle within {most_rounds} rounds")
+        rounds += 1
+        colour = _coloured(rest, most_rounds)
         a, b = colour.select(F.col("node").alias("src"), F.col("c").alias("cs")), colour.select(F.col("node").alias("dst"), F.col("c").alias("cd"))
-        within = checkpointed(rest.join(a, "src").join(b, "dst").where("cs = cd").select("src", "dst", F.col("cs").alias("c")))
-        reach = checkpointed(colour.where("node = c").select("node", "c"))
-        new = reach
-        while True:
-            back = within.join(new.select(F.col("node").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("node"), "c").distinct()
-            new = checkpointed(back.join(reach, ["node", "c"], "left_anti"))
-            if new.isEmpty():
-                break
-            reach = checkpointed(reach.unionByName(new))
-        part = reach.select("node", F.col("c").alias("scc"))
+        within = checkpointed(rest.join(a, "src").join(b, "dst").where("cs = cd").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        # A colour is the least node of its own, so the nodes that reach it are those to which it comes back against the edges.
+        back = _coloured(within, most_rounds).join(colour, ["node", "c"], "left_semi")
+        part = checkpointed(back.unionByName(colour.where("node = c")).distinct().select("node", F.col("c").alias("scc")))
         found = part if found is None else checkpointed(found.unionByName(part))
         left = rest.join(part.select(F.col("node").alias("src")), "src", "left_anti").join(part.select(F.col("node").alias("dst")), "dst", "left_anti")
         rest = _trimmed(left)
@@ -192,6 +195,8 @@ def layers(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
         depth = depth.join(moved.select("node", F.col("depth").alias("d")), "node", "left").select("node", F.coalesce("d", "depth").alias("depth"))
         if level % 4 == 0:
             depth = checkpointed(depth)
+    else:
+        raise RuntimeError(f"layers didn't settle within {most_rounds} rounds")
     return scc.join(depth.select(F.col("node").alias("scc"), "depth"), "scc").select("node", "scc", "depth")
 
 

@@ -120,3 +120,10 @@ def test_uses(spark, rows):
     assert rows(G.identifier_uses(s, n)) == [("k", "FOO", 10), ("k", "bar_9", 11)]
     d = spark.createDataFrame([("x", "(1)", "functions"), ("x", "->a", "variables"), ("x", "", "structs"), ("x", "(", "macros")], "n string, t string, k string")
     assert [r[0] for r in d.select(G.infer_dep_type(F.col("n"), F.col("t"), F.col("k"))).collect()] == ["function_call", "struct_member", "type_reference", "macro_use"]
+
+
+def test_unsettled_components_raise(spark):
+    cycle = [(f"n{i}", f"n{(i + 1) % 5}") for i in range(5)]
+    with pytest.raises(RuntimeError):
+        G.strong_components(frame(spark, cycle), 2)
+    assert {x.scc for x in G.strong_components(frame(spark, cycle)).collect()} == {"n0"}
