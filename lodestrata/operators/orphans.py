@@ -4,10 +4,10 @@ Every key carries two signed counts that follow from change deltas: *existence*
 key is extracted, -1 when it is deleted) and *references* (+1 per edge end). A reference is an orphan
 if the existence count of its key is zero at the time it was recorded.
 
-Scale: a key may hold a third of all references, so no group is a bare key. The time that the references
-cover is cut into a fixed number of equal slots and the group is (key, slot); a row that is alive when a
-slot begins opens that slot with a +1 of its own, so each group is swept alone, as one sorted stream of
-narrow rows. That sweep is the only large shuffle; the orphans alone are shuffled again, to drop repeats.
+Scale: references and deltas are shuffled once by key and swept as one sorted stream of narrow rows. A key that holds
+more than 1/512 of all rows is found by a sketch of bounded size; its time is cut at its own quantiles, so that each
+(key, slot) holds about that share, and what the slots before add up to opens a slot: a table of one row per slot.
+The orphans alone are shuffled again, to drop repeats.
 """
 
 from __future__ import annotations
@@ -16,22 +16,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.model import is_blank, key_of, normal_key
-
-SLOTS = 16
+from lodestrata.operators.skew import LEAST_ROWS, SHARES, heavy_keys
 
 
 def _micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
+SIDES = ("source", "target")
+
+
 def reference_deltas(edges: DataFrame) -> DataFrame:
-    """(key, at, edge_id, side, recorded_at): one row per end of an edge that is neither null nor blank.
+    """(key, at, edge_id, side): one row per end of an edge that is neither null nor blank; side is a place in SIDES.
 
     Edges without recorded_at have no place in time and are left out.
     """
-    ends = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("raw")) for s in ("source", "target")]))
-    e = edges.where("recorded_at is not null").select("edge_id", "recorded_at", ends.alias("end")).where(~is_blank(F.col("end.raw")))
-    return e.select(normal_key(F.col("end.raw")).alias("key"), _micros(F.col("recorded_at")).alias("at"), "edge_id", F.col("end.side").alias("side"), "recorded_at")
+    ends = F.explode(F.array(*[F.struct(F.lit(i).cast("tinyint").alias("side"), F.col(s).alias("raw")) for i, s in enumerate(SIDES)]))
+    e = edges.where("recorded_at is not null").select("edge_id", _micros(F.col("recorded_at")).alias("at"), ends.alias("end")).where(~is_blank(F.col("end.raw")))
+    return e.select(normal_key(F.col("end.raw")).alias("key"), "at", "edge_id", F.col("end.side").alias("side"))
 
 
 def existence_spans(symbols: DataFrame) -> DataFrame:
@@ -45,11 +47,26 @@ def existence_spans(symbols: DataFrame) -> DataFrame:
     return s.where("key is not null and born is not null and (dies is null or dies > born)")
 
 
-def _slot(at: Column, low: int, width: int) -> Column:
-    return F.floor((at - F.lit(low)) / F.lit(width)).cast("int")
+def existence_deltas(symbols: DataFrame) -> DataFrame:
+    """(key, at, delta): +1 when a row begins to live, -1 when it ends."""
+    both = F.array(F.struct(F.col("born").alias("at"), F.lit(1).alias("delta")), F.struct(F.col("dies").alias("at"), F.lit(-1).alias("delta")))
+    return existence_spans(symbols).select("key", F.explode(both).alias("d")).select("key", "d.at", "d.delta").where("at is not null")
 
 
-def orphan_references(edges: DataFrame, symbols: DataFrame, slots: int = SLOTS) -> DataFrame:
+def _slotted(events: DataFrame, heavy: dict[str, int], total: int) -> DataFrame:
+    """Events with a slot: 0 or, for the heavy keys, the number of the key's cuts at or before the event."""
+    if not heavy:
+        return events.withColumn("slot", F.lit(0))
+    # Cuts at the quantiles of each heavy key, as many as it has shares: no more than some 1,000 values over all keys.
+    steps = [x for k, n in heavy.items() for x in (F.lit(k), F.lit(max(SHARES // max(round(n * SHARES / total), 2), 1)))]
+    found = events.where(F.col("key").isin(*heavy)).groupBy("key").agg(F.percentile_approx("at", [i / SHARES for i in range(1, SHARES)], 20 * SHARES).alias("all"))
+    step = F.create_map(*steps)[F.col("key")]
+    cuts = found.select("key", F.filter("all", lambda c, i: (i + 1) % step == 0).alias("cuts"))
+    met = events.join(F.broadcast(cuts), "key", "left")
+    return met.withColumn("slot", F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda c: c <= F.col("at"))))).drop("cuts")
+
+
+def orphan_references(edges: DataFrame, symbols: DataFrame, heavy_rows: int = LEAST_ROWS) -> DataFrame:
     """(edge_id, side, key, recorded_at): each reference whose key has no living row when it is recorded.
 
     A row lives from extracted_at (inclusive) to deleted_at (exclusive). Keys are compared in normal form
@@ -58,36 +75,25 @@ def orphan_references(edges: DataFrame, symbols: DataFrame, slots: int = SLOTS)
     edges table gives no rows; with an empty symbols table every reference is an orphan. Further
     columns of either table are ignored, so clashing names do no harm.
     """
-    refs = reference_deltas(edges)
-    low, high = edges.agg(F.min(_micros(F.col("recorded_at"))), F.max(_micros(F.col("recorded_at")))).first()
-    low, high = low or 0, high or 0
-    width = max((high - low) // slots + 1, 1)
-
-    # Changes before the first slot are summed up in the +1 that opens it; those after the last don't matter.
-    spans = existence_spans(symbols).where(F.col("born") <= high).where(F.col("dies").isNull() | (F.col("dies") > low))
-    born, dies = F.greatest(F.col("born"), F.lit(low)), F.least(F.coalesce(F.col("dies"), F.lit(high + 1)), F.lit(high + 1))
-    lived = spans.select("key", born.alias("born"), dies.alias("dies"))
-    last = F.greatest(_slot(F.col("dies") - 1, low, width), _slot(F.col("born"), low, width))
-    per_slot = lived.select("key", "born", "dies", F.explode(F.sequence(_slot(F.col("born"), low, width), last)).alias("slot"))
-    opens = F.greatest(F.col("born"), F.lit(low) + F.col("slot").cast("long") * F.lit(width))
-    shuts = F.least(F.col("dies"), F.lit(low) + (F.col("slot").cast("long") + 1) * F.lit(width))
-    deltas = per_slot.select("key", "slot", F.explode(F.array(F.struct(opens.alias("at"), F.lit(1).alias("delta")), F.struct(shuts.alias("at"), F.lit(-1).alias("delta")))).alias("d"))
-    deltas = deltas.select("key", "slot", F.col("d.at").alias("at"), F.col("d.delta").alias("delta"))
-    deltas = deltas.groupBy("key", "slot", "at").agg(F.sum("delta").alias("delta")).where("delta <> 0")
-
-    events = refs.select("key", _slot(F.col("at"), low, width).alias("slot"), "at", F.lit(None).cast("bigint").alias("delta"), "edge_id", "side", "recorded_at").unionByName(
-        deltas, allowMissingColumns=True
-    )
+    events = reference_deltas(edges).unionByName(existence_deltas(symbols), allowMissingColumns=True)
+    heavy = heavy_keys(events, "key", heavy_rows)
+    slotted = _slotted(events, heavy, events.count() if heavy else 0)
+    if heavy:
+        sums = slotted.where(F.col("key").isin(*heavy)).groupBy("key", "slot").agg(F.coalesce(F.sum("delta"), F.lit(0)).alias("delta"))
+        before = Window.partitionBy("key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+        opens = sums.select("key", "slot", F.sum("delta").over(before).cast("int").alias("delta")).where("delta <> 0")
+        slotted = slotted.unionByName(opens.withColumn("at", F.lit(-(2**63)).cast("bigint")), allowMissingColumns=True)
     # Changes come before references of the same moment: a birth counts at once, and so does a death.
     sweep = Window.partitionBy("key", "slot").orderBy("at", F.col("side").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    swept = events.withColumn("existing", F.coalesce(F.sum("delta").over(sweep), F.lit(0)))
-    found = swept.where("side is not null and existing <= 0").select("edge_id", "side", "key", "recorded_at")
-    return found.dropDuplicates(["edge_id", "side"])
+    swept = slotted.withColumn("existing", F.coalesce(F.sum("delta").over(sweep), F.lit(0)))
+    found = swept.where("side is not null and existing <= 0").dropDuplicates(["edge_id", "side"])
+    named = F.when(F.col("side") == 0, SIDES[0]).otherwise(SIDES[1])
+    return found.select("edge_id", named.alias("side"), "key", F.timestamp_micros("at").cast(edges.schema["recorded_at"].dataType).alias("recorded_at"))
 
 
-def orphan_report(edges: DataFrame, symbols: DataFrame, slots: int = SLOTS) -> DataFrame:
+def orphan_report(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """(side, period, orphans, keys): orphan references per side and month of recorded_at."""
-    o = orphan_references(edges, symbols, slots)
+    o = orphan_references(edges, symbols)
     return (
         o.groupBy("side", F.date_format(F.col("recorded_at").cast("timestamp_ntz"), "yyyy-MM").alias("period"))
         .agg(F.count("*").alias("orphans"), F.countDistinct("key").alias("keys"))

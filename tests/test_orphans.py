@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from lodestrata.operators.orphans import current_orphans, orphan_references, orphan_report
+from lodestrata.operators.skew import heavy_keys
 
 EDGE = "edge_id bigint, source string, target string, recorded_at timestamp_ntz, key string"
 SYM = "symbol_id bigint, symbol_key string, name string, type string, file_path string, extracted_at timestamp_ntz, deleted_at timestamp_ntz, at string"
@@ -31,8 +32,9 @@ def brute(edges, symbols):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_random(spark, seed):
+@pytest.mark.parametrize("seed,heavy_rows", [(1, 20), (2, 60), (1, 10_000), (3, 0)])
+def test_random(spark, seed, heavy_rows):
+    """The same however many keys count as heavy and are cut into slots."""
     r = random.Random(seed)
     keys = ["a:functions:x.c", "a:'Function':.\\x.c", "b:macros:y/z.h", "b:macros:./y/z.h", "c:functions:q.c", None, "", " "]
     when = lambda: r.choice([None] + [T0 + timedelta(hours=r.randint(0, 2000)) for _ in range(12)])
@@ -43,12 +45,26 @@ def test_random(spark, seed):
     symbols += symbols[:5]
     edges = [(i, r.choice(keys), r.choice(keys), when(), "clash") for i in range(150)]
     edges += edges[:20]
-    got = orphan_references(spark.createDataFrame(edges, EDGE), spark.createDataFrame(symbols, SYM), slots=5)
+    got = orphan_references(spark.createDataFrame(edges, EDGE), spark.createDataFrame(symbols, SYM), heavy_rows=heavy_rows)
     pairs = [(x.edge_id, x.side) for x in got.collect()]
     assert len(pairs) == len(set(pairs))
     assert set(pairs) == brute(edges, symbols)
 
 
+def test_hot_key(spark):
+    """One key with all rows, most of them at one moment."""
+    sym = [(i, "a:functions:x.c", None, None, None, T0 + timedelta(hours=2 * i), T0 + timedelta(hours=2 * i + 1), None) for i in range(200)]
+    edges = [(i, "a:functions:x.c", None, T0 + timedelta(minutes=30 * (i % 900) if i % 3 else 60), None) for i in range(2000)]
+    got = orphan_references(spark.createDataFrame(edges, EDGE), spark.createDataFrame(sym, SYM), heavy_rows=100)
+    want = {i for i, _, _, at, _ in edges if at >= T0 + timedelta(hours=400) or int((at - T0).total_seconds() // 3600) % 2}
+    assert {x.edge_id for x in got.collect()} == want
+
+
+def test_heavy_keys(spark):
+    df = spark.range(20_000).selectExpr("if(id % 3 = 0, 'hot', cast(id as string)) as k")
+    assert set(heavy_keys(df, "k", 100)) == {"hot"} and heavy_keys(df.where("false"), "k") == {}
+
+
 def test_bounds(spark, rows):
     sym = [(1, "a:functions:x.c", None, None, None, T0, T0 + timedelta(days=1), None)]
     at = [T0 - timedelta(microseconds=1), T0, T0 + timedelta(days=1) - timedelta(microseconds=1), T0 + timedelta(days=1)]
