@@ -1,16 +1,18 @@
 """Semi-structured log lines into entries with timestamp, level, component and message.
 
-Record starts are found by header expressions, line by line, without a shuffle. Continuation lines are
-then grouped cumulatively: within a block of consecutive lines of a file the running maximum of the header
-lines numbers the entry. A file may hold a third of all lines, so the group is (file, block), not the file;
-what stands ahead of a block's first header is a loose end that a small table with one row per block ties
-to the entry it belongs to. Last, an ordered cascade of patterns with named fields is applied to header lines.
+Record starts are found by header expressions, line by line, without a shuffle; the ordered cascade of patterns with
+named fields is applied there, too, with one match per header that yields all its fields. Continuation lines are
+then grouped cumulatively: within a block of consecutive lines of a file the header lines part the entries. A file may
+hold a third of all lines, so the group is (file, block), not the file; what stands ahead of a block's first header is a
+loose end, and only it and the last entry of each block, at most two rows for 20,000 lines, are gathered by file to be tied together.
 
 All expressions are built-in ones, so no line passes through Python.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,7 +60,9 @@ LAYOUTS: dict[str, str] = {
 def clean_line(line: Column) -> Column:
     """The line without terminal control sequences, byte order mark and trailing carriage returns."""
     bare = F.regexp_replace(line, r"\x1b\[[0-9;?]*[ -/]*[@-~]|\x1b\][^\x07\x1b]*(?:\x07|\x1b\\)|^\x{FEFF}+", "")
-    return F.regexp_replace(bare, r"[\r\n]+$", "")
+    # Most lines hold none of these and are left as they are.
+    bare = F.when(line.contains("\x1b") | line.startswith("\ufeff"), bare).otherwise(line)
+    return F.when(bare.endswith("\r") | bare.endswith("\n"), F.regexp_replace(bare, r"[\r\n]+$", "")).otherwise(bare)
 
 
 def layout_of(text: Column) -> Column:
@@ -72,20 +76,18 @@ def layout_of(text: Column) -> Column:
 
 def _plain(pattern: str) -> str:
     """Named groups as plain ones: Spark numbers groups."""
-    import re
-
     return re.sub(r"\(\?<[a-z]+>", "(", pattern)
 
 
-def _group(layout: str, text: Column, field: str) -> Column | None:
-    import re
+FIELDS = ("date", "time", "frac", "zone", "level", "component", "month", "day")
+_BETWEEN = "\x1e\x1f"
+
 
-    pattern = LAYOUTS[layout]
-    opens = [m for m in re.finditer(r"\\.|\((?!\?)|\(\?<([a-z]+)>|\[(?:\\.|[^\]\\])*\]", pattern) if m.group().startswith("(")]
-    for i, m in enumerate(opens, 1):
-        if m.group(1) == field:
-            return F.regexp_extract(text, _plain(pattern), i)
-    return None
+def _fields(layout: str) -> str:
+    """The replacement that turns a header into its fields, in order; fields that the layout lacks are empty."""
+    opens = [m for m in re.finditer(r"\\.|\((?!\?)|\(\?<([a-z]+)>|\[(?:\\.|[^\]\\])*\]", LAYOUTS[layout]) if m.group().startswith("(")]
+    places = {m.group(1): i for i, m in enumerate(opens, 1)}
+    return "".join((f"${places[f]}" if f in places else "") + _BETWEEN for f in FIELDS)
 
 
 def normal_level(word: Column) -> Column:
@@ -125,54 +127,50 @@ def _unquoted(text: Column) -> Column:
     return F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', '""')
 
 
-def parse_header(text: Column, layout: Column, file_stamp: Column) -> Column:
-    """struct(logged_at, log_level, component, body) of a header line; ``file_stamp`` is YYYYMMDDHHMMSS of the run's begin.
-
-    logged_at is '' for layouts without time. A missing year or date follows from the file's name: a run
-    lasts less than a day, so a stamp belongs to the day the run began or to the next one.
-    """
-    day = F.to_date(F.substring(file_stamp, 1, 8).cast("string"), "yyyyMMdd")
-    began = F.concat_ws(":", F.substring(file_stamp, 9, 2), F.substring(file_stamp, 11, 2), F.substring(file_stamp, 13, 2))
+def _taken(text: Column, layout: Column, with_body: bool) -> Column:
+    """The fields of a header and the rest of its line as one text: one match per header."""
     out = None
     for name in LAYOUTS:
-        g = {f: _group(name, text, f) for f in ("date", "time", "frac", "zone", "level", "component", "month", "day")}
-        body = F.regexp_replace(text, _plain(LAYOUTS[name]), "")
         if name == "json":
             j = F.from_json(text, "time string, ts string, timestamp string, lvl string, level string, severity string, logger string, component string, name string, msg string")
             stamp = F.coalesce(j["time"], j["ts"], j["timestamp"])
-            at = F.when(stamp.rlike(r"^\d{9,11}$"), _epoch(F.concat(stamp, F.lit("000")))).otherwise(_epoch(stamp))
-            level, component, body = F.coalesce(j["lvl"], j["level"], j["severity"]), F.coalesce(j["logger"], j["component"], j["name"]), j["msg"]
+            at = F.coalesce(_epoch(F.when(stamp.rlike(r"^\d{9,11}$"), F.concat(stamp, F.lit("000"))).otherwise(stamp)), F.lit(""))
+            parts = [F.substring(at, 1, 10), F.substring(at, 12, 8), F.substring(at, 21, 3), F.lit(""), F.coalesce(j["lvl"], j["level"], j["severity"]), F.coalesce(j["logger"], j["component"], j["name"]), F.lit(""), F.lit(""), j["msg"] if with_body else F.lit("")]
+            made = F.concat_ws(_BETWEEN, *[F.coalesce(x, F.lit("")) for x in parts])
         elif name == "pairs":
             bare = _unquoted(text)
             stamp = F.regexp_extract(bare, r"(?:^| )(?:ts|time)=(\S+)", 1)
             p = r"^(\d{4}-\d\d-\d\d)[T ](\d\d:\d\d:\d\d)(?:[.,](\d+))?(Z|[+-]\d\d:?\d\d)?$"
-            at = _shifted(*[F.regexp_extract(stamp, p, i) for i in (1, 2, 3, 4)])
-            level = F.regexp_extract(bare, r"(?:^| )level=(\S+)", 1)
-            component = F.regexp_extract(bare, r"(?:^| )(?:component|logger)=(\S+)", 1)
-            body = F.regexp_replace(F.regexp_extract(text, r'\bmsg="((?:[^"\\]|\\.)*)"', 1), r'\\(.)', "$1")
-        elif name in ("prefixed", "system"):
-            month = g["month"] if name == "prefixed" else F.lpad(F.array_position(F.lit(list(MONTHS)), g["month"]).cast("string"), 2, "0")
-            md = F.concat(month, F.lit("-"), F.lpad(g["day"], 2, "0"))
-            next_day = F.date_add(day, 1)
-            year = F.when(F.date_format(next_day, "MM-dd") == md, F.year(next_day)).otherwise(F.year(day)).cast("string")
-            at = F.concat(year, F.lit("-"), md, F.lit(" "), g["time"], F.lit("."), _millis(g["frac"]))
-            level, component = g["level"], g["component"]
-        elif name == "tabbed":
-            on = F.when(g["time"] < began, F.date_add(day, 1)).otherwise(day)
-            at = F.concat(on.cast("string"), F.lit(" "), g["time"], F.lit("."), _millis(g["frac"]))
-            level, component = g["level"], g["component"]
-        elif name == "tagged":
-            at, level, component = F.lit(""), g["level"], g["component"]
+            at = F.when(stamp.rlike(p), F.regexp_replace(stamp, p, _BETWEEN.join(f"${i}" for i in (1, 2, 3, 4)))).otherwise(_BETWEEN * 3)
+            level, component = F.regexp_extract(bare, r"(?:^| )level=(\S+)", 1), F.regexp_extract(bare, r"(?:^| )(?:component|logger)=(\S+)", 1)
+            body = F.regexp_replace(F.regexp_extract(text, r'\bmsg="((?:[^"\\]|\\.)*)"', 1), r'\\(.)', "$1") if with_body else F.lit("")
+            made = F.concat_ws(_BETWEEN, at, level, component, F.lit(""), F.lit(""), body)
         else:
-            at = _shifted(g["date"], g["time"], g["frac"], g["zone"] if g["zone"] is not None else F.lit(""))
-            level, component = g["level"], g["component"]
-        made = F.struct(
-            F.coalesce(at, F.lit("")).alias("logged_at"), normal_level(level).alias("log_level"), F.coalesce(component, F.lit("")).alias("component"), F.coalesce(body, F.lit("")).alias("body")
-        )
+            made = F.regexp_replace(text, _plain(LAYOUTS[name]), _fields(name))
         out = F.when(layout == name, made) if out is None else out.when(layout == name, made)
     return out
 
 
+def parse_header(taken: Column, file_stamp: Column) -> dict[str, Column]:
+    """logged_at, log_level, component and body of what ``_taken`` gives; ``file_stamp`` is YYYYMMDDHHMMSS of the run's begin.
+
+    logged_at is '' for layouts without time. A missing year or date follows from the file's name: a run
+    lasts less than a day, so a stamp belongs to the day the run began or to the next one.
+    """
+    parts = F.split(taken, _BETWEEN, len(FIELDS) + 1)
+    g = {f: parts[i] for i, f in enumerate(FIELDS)}
+    day = F.to_date(F.substring(file_stamp, 1, 8), "yyyyMMdd")
+    began = F.concat_ws(":", F.substring(file_stamp, 9, 2), F.substring(file_stamp, 11, 2), F.substring(file_stamp, 13, 2))
+    month = F.when(F.length(g["month"]) == 3, F.lpad(F.array_position(F.lit(list(MONTHS)), g["month"]).cast("string"), 2, "0")).otherwise(g["month"])
+    md = F.concat(month, F.lit("-"), F.lpad(g["day"], 2, "0"))
+    next_day = F.date_add(day, 1)
+    year = F.when(F.date_format(next_day, "MM-dd") == md, F.year(next_day)).otherwise(F.year(day)).cast("string")
+    on = F.when(g["time"] < began, next_day).otherwise(day)
+    clock = F.concat(F.lit(" "), g["time"], F.lit("."), _millis(g["frac"]))
+    at = F.when(g["time"] == "", "").when(g["date"] != "", _shifted(g["date"], g["time"], g["frac"], g["zone"])).when(g["month"] != "", F.concat(year, F.lit("-"), md, clock)).otherwise(F.concat(on.cast("string"), clock))
+    return {"logged_at": F.coalesce(at, F.lit("")), "log_level": normal_level(g["level"]), "component": g["component"], "body": parts[len(FIELDS)]}
+
+
 def log_entries(logs: DataFrame, block: int = BLOCK, with_message: bool = True) -> DataFrame:
     """(log_file, first_line, last_line, logged_at, log_level, component[, message]): one row per entry.
 
@@ -184,43 +182,44 @@ def log_entries(logs: DataFrame, block: int = BLOCK, with_message: bool = True)
     """
     text = clean_line(F.coalesce(F.col("line"), F.lit("")))
     rows = logs.where("log_file is not null and line_no is not null").select(
-        "log_file", "line_no", F.floor(F.col("line_no") / block).cast("int").alias("block"), "shipped_at", text.alias("text")
+        "log_file", F.col("line_no").cast("int").alias("line_no"), F.floor(F.col("line_no") / block).cast("int").alias("block"), "shipped_at", text.alias("text")
     )
     rows = rows.withColumn("layout", layout_of(F.col("text")))
-    filled = ~F.col("text").rlike(r"^[\s\x00-\x20]*$")
-    rows = rows.select("log_file", "block", "line_no", "shipped_at", "layout", filled.alias("filled"), (F.col("text") if with_message else F.when(F.col("layout").isNotNull(), F.col("text"))).alias("text"))
+    filled = F.col("layout").isNotNull() | ~F.col("text").rlike(r"^[\s\x00-\x20]*$")
+    rows = rows.select("log_file", "block", "line_no", "shipped_at", filled.alias("filled"), _taken(F.col("text"), F.col("layout"), with_message).alias("head"), *(["text"] if with_message else []))
 
     in_block = Window.partitionBy("log_file", "block").orderBy("line_no", F.col("shipped_at").asc_nulls_last())
-    rows = rows.withColumn("repeated", F.coalesce(F.lag("line_no").over(in_block) == F.col("line_no"), F.lit(False)))
-    running = in_block.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("first_line", F.max(F.when(F.col("layout").isNotNull() & ~F.col("repeated"), F.col("line_no"))).over(running)).where("not repeated")
-    is_head = F.col("line_no") == F.col("first_line")
-    aggs = [
-        F.max(F.when(F.col("filled"), F.col("line_no"))).alias("last_line"),
-        F.max(F.when(is_head, F.struct("layout", "text"))).alias("head"),
-    ]
+    running, before, whole = in_block.rowsBetween(Window.unboundedPreceding, 0), in_block.rowsBetween(Window.unboundedPreceding, -1), in_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("prior", F.lag("line_no").over(in_block)).where("prior is null or prior <> line_no")
+    is_head = F.col("head").isNotNull()
+    filled_line = F.when(F.col("filled"), F.col("line_no"))
     if with_message:
-        aggs.append(F.sort_array(F.collect_list(F.when(~is_head | F.col("first_line").isNull(), F.struct("line_no", "filled", "text")))).alias("more"))
-    parts = rows.groupBy("log_file", "block", "first_line").agg(*aggs)
-
-    # Loose ends: the part of a block ahead of its first header belongs to the last entry of an earlier block.
-    blocks = rows.groupBy("log_file", "block").agg(F.max("first_line").alias("opened"), F.count(F.when(F.col("first_line").isNull(), 1)).alias("loose"))
-    before = Window.partitionBy("log_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    owners = blocks.withColumn("owner", F.last("opened", ignorenulls=True).over(before)).where("loose > 0 and owner is not null")
-    ends = parts.where("first_line is null").join(owners.select("log_file", "block", "owner"), ["log_file", "block"])
-    ends = ends.groupBy("log_file", F.col("owner").alias("first_line")).agg(
-        F.max("last_line").alias("tail_line"), *([F.flatten(F.sort_array(F.collect_list("more"))).alias("tail")] if with_message else [])
-    )
-    entries = parts.where("first_line is not null").join(ends, ["log_file", "first_line"], "left")
+        rows = rows.withColumn("first_line", F.max(F.when(is_head, F.col("line_no"))).over(running))
+        more = F.sort_array(F.collect_list(F.when(~is_head, F.struct("line_no", "text"))))
+        parts = rows.groupBy("log_file", "block", "first_line").agg(F.max(filled_line).alias("last_line"), F.max("head").alias("head"), more.alias("more"))
+        edge = F.col("first_line").isNull() | (F.col("first_line") == F.max("first_line").over(Window.partitionBy("log_file", "block")))
+        parts = parts.withColumn("edge", edge)
+    else:
+        # An entry ends with the last filled line ahead of the next header, or of the block; a block's first line stands for a loose end.
+        rows = rows.select("log_file", "block", "line_no", "shipped_at", "head", "prior", F.max(filled_line).over(before).alias("filled_before"), F.max(filled_line).over(whole).alias("filled_last"))
+        kept = rows.where(is_head | F.col("prior").isNull())
+        last = F.lead("line_no").over(in_block).isNull()
+        parts = kept.select(
+            "log_file", "block", F.when(is_head, F.col("line_no")).alias("first_line"), F.when(last, F.col("filled_last")).otherwise(F.lead("filled_before").over(in_block)).alias("last_line"), "head", (last | ~is_head).alias("edge")
+        )
+
+    # A loose end belongs to the last entry of an earlier block.
+    so_far = Window.partitionBy("log_file").orderBy("block", F.col("first_line").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    edges = parts.where("edge").withColumn("owner", F.last("first_line", ignorenulls=True).over(so_far)).where("owner is not null")
+    tied = edges.groupBy("log_file", F.col("owner").alias("first_line")).agg(F.max("last_line").alias("last_line"), F.max("head").alias("head"), *([F.flatten(F.sort_array(F.collect_list("more"))).alias("more")] if with_message else []))
+    cols = ["log_file", "first_line", "last_line", "head", *(["more"] if with_message else [])]
+    entries = parts.where("not edge").select(*cols).unionByName(tied.select(*cols))
 
     stamp = F.regexp_extract(F.col("log_file"), r"run-(\d{8})-(\d{6})", 0)
     stamp = F.when(stamp != "", F.translate(F.substring(stamp, 5, 15), "-", ""))
-    made = entries.select(
-        "log_file", "first_line", F.greatest("first_line", "last_line", "tail_line").cast("int").alias("last_line"),
-        parse_header(F.col("head.text"), F.col("head.layout"), stamp).alias("h"), *(["more", "tail"] if with_message else []),
-    )
-    out = ["log_file", F.col("first_line").cast("int").alias("first_line"), "last_line", "h.logged_at", "h.log_level", "h.component"]
+    h = parse_header(F.col("head"), stamp)
+    out = ["log_file", "first_line", "last_line", *[h[c].alias(c) for c in ("logged_at", "log_level", "component")]]
     if with_message:
-        lines = F.filter(F.concat(F.col("more"), F.coalesce(F.col("tail"), F.array().cast("array<struct<line_no:int,filled:boolean,text:string>>"))), lambda x: x["line_no"] <= F.col("last_line"))
-        out.append(F.concat_ws("\n", F.col("h.body"), F.transform(lines, lambda x: x["text"])).alias("message"))
-    return made.select(*out)
+        lines = F.filter("more", lambda x: x["line_no"] <= F.col("last_line"))
+        out.append(F.concat_ws("\n", h["body"], F.transform(lines, lambda x: x["text"])).alias("message"))
+    return entries.select(*out)
