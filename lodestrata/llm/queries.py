@@ -7,14 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestrata.llm import encoding, funcdocs, leakage, packing, splitting, truncation
 from lodestrata.session import table
 
-BATCH_ROWS = 1000
-
-
-def _bounded(spark: SparkSession) -> None:
-    """Arrow batches of so many rows at most, so that long texts fit a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def p1_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_batches(table(spark, sf, "symbol_batches"), table(spark, sf, "symbols"))
 
@@ -24,7 +16,6 @@ def p1_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    _bounded(spark)
     return splitting.split_oversized(table(spark, sf, "symbols"), "symbol_id", "full_declaration")
 
 
@@ -33,7 +24,6 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    _bounded(spark)
     return funcdocs.function_pairs(table(spark, sf, "symbols"))
 
 
@@ -42,12 +32,10 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
-    _bounded(spark)
     return encoding.encode_corpus(table(spark, sf, "documents"))
 
 
 def p7_leaks(spark: SparkSession, sf: str) -> DataFrame:
-    _bounded(spark)
     return leakage.leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
 
@@ -60,7 +48,6 @@ def p7_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_cut(spark: SparkSession, sf: str) -> DataFrame:
-    _bounded(spark)
     return truncation.truncated_documents(table(spark, sf, "documents"))
 
 
