@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import ship
+
 #: Fixed value: how the tokenizer cuts a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -47,8 +50,11 @@ class TrieEncoder:
         self.longest = max(map(len, ranks))
         self.tails = {b[i:] for b in ranks for i in range(len(b))}
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, int] = {}
-        self.flat, self.starts = [], [0]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Buffers that grow in place: numpy looks at them without a copy."""
+        self.words, self.flat, self.starts = {}, array("i"), array("q", [0])
 
     @classmethod
     def from_file(cls, path: str) -> TrieEncoder:
@@ -121,7 +127,7 @@ class TrieEncoder:
         per_text = [split(t) if t else [] for t in texts]
         counts = np.fromiter(map(len, per_text), dtype=np.int64, count=len(per_text))
         if len(self.words) > MOST_WORDS:
-            self.words, self.flat, self.starts = {}, [], [0]
+            self._forget()
         if len(self.pairs) > 2 * MOST_WORDS:
             self.pairs = {}
         fresh = set()
@@ -132,7 +138,7 @@ class TrieEncoder:
             self.learn(list(fresh))
         known = self.words
         codes = np.fromiter((known[w] for ws in per_text for w in ws), dtype=np.int64, count=int(counts.sum()))
-        starts, flat = np.asarray(self.starts, dtype=np.int64), np.asarray(self.flat, dtype=np.int32)
+        starts, flat = np.frombuffer(self.starts, dtype=np.int64), np.frombuffer(self.flat, dtype=np.int32) if self.flat else np.zeros(0, dtype=np.int32)
         sizes = starts[codes + 1] - starts[codes]
         ends = np.cumsum(sizes)
         take = np.repeat(starts[codes] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
@@ -165,6 +171,7 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table gives no rows and other columns are ignored. ``vocabulary`` is the path of a file of ranked byte strings
     that every executor can read.
     """
+    ship(df.sparkSession)
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
