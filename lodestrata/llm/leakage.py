@@ -8,8 +8,9 @@ fewer than 12 words to the length bound. Candidates (document, item, offset) are
 
 Scale: the evaluation set is the stated query set. It is taken in blocks of a bounded number of words; a block's
 shingles go to every task, and one scan of the corpus per block gives both the counts of all shared shingles, summed
-up within each partition, and the runs. Only those runs, a sliver of the corpus, are kept, in the shared checkpoint folder,
-and joined. Nothing is paired within the corpus.
+up within each partition, and the runs with their codes. Only those runs, a sliver of the corpus, are kept, in the shared checkpoint folder.
+What is joined by shingle is narrow (run, place, code); the words of a run come back once for each (item, offset) that is left.
+Nothing is paired within the corpus.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.session import checkpointed
+from lodestrata.session import checkpointed, ship
 
 PASSAGE, SHINGLE = 12, 5
 BLOCK_WORDS = 500_000
@@ -135,13 +137,14 @@ def _shared_runs(ids: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _scan_block(docs: DataFrame, vocabulary: dict[str, int], codes: np.ndarray, passage: int) -> DataFrame:
-    """Rows of (code, seen) with the counts of shared shingles per partition, and of (doc_id, run) with the ids of a run of words."""
+    """Rows of (code, seen) with the counts of shared shingles per partition, and of (doc_id, run_id, run, codes) with the ids of a run of words and its shingles."""
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, codes))
     least = passage - SHINGLE + 1
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab, known = shared.value
         get, seen = vocab.get, Counter()
+        next_id = TaskContext.get().partitionId() << 40
         for b in batches:
             words = [normal_words(t) for t in b["text"]]
             ids = np.fromiter((get(w, -1) for ws in words for w in [*ws, ""]), dtype=np.int64)
@@ -149,14 +152,18 @@ def _scan_block(docs: DataFrame, vocabulary: dict[str, int], codes: np.ndarray,
             hit_codes, starts, lengths = _shared_runs(ids, known)
             for c, n in zip(*np.unique(hit_codes, return_counts=True)):
                 seen[int(c)] += int(n)
-            long = lengths >= least
+            long = np.flatnonzero(lengths >= least)
             doc = np.searchsorted(ends, starts[long], side="right")
+            at = np.cumsum(lengths) - lengths
             runs = [ids[s : s + n + SHINGLE - 1].tolist() for s, n in zip(starts[long], lengths[long])]
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[doc] if len(runs) else pd.Series([], dtype="int64"), "run": pd.Series(runs, dtype=object), "code": None, "seen": None})
+            own = [hit_codes[a : a + n].tolist() for a, n in zip(at[long], lengths[long])]
+            run_ids = np.arange(next_id, next_id + len(runs))
+            next_id += len(runs)
+            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[doc] if len(runs) else pd.Series([], dtype="int64"), "run_id": run_ids, "run": pd.Series(runs, dtype=object), "codes": pd.Series(own, dtype=object), "code": None, "seen": None})
         if seen:
-            yield pd.DataFrame({"doc_id": None, "run": None, "code": list(seen), "seen": list(seen.values())})
+            yield pd.DataFrame({"doc_id": None, "run_id": None, "run": None, "codes": None, "code": list(seen), "seen": list(seen.values())})
 
-    return docs.mapInPandas(scan, "doc_id bigint, run array<int>, code bigint, seen bigint")
+    return docs.mapInPandas(scan, "doc_id bigint, run_id bigint, run array<int>, codes array<bigint>, code bigint, seen bigint")
 
 
 def _verified(candidates: DataFrame, passage: int) -> DataFrame:
@@ -188,6 +195,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, passage: int = PASSAGE,
     if passage < SHINGLE:
         raise ValueError(f"passages have at least {SHINGLE} words")
     spark = documents.sparkSession
+    ship(spark)
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= 2 * passage - 1))
     its = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where(F.col("item_id").isNotNull() & (F.length("text") >= 2 * passage - 1))
     size = its.agg(F.sum(F.length("text")), F.max(F.length("text"))).first()
@@ -204,7 +212,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, passage: int = PASSAGE,
             continue
         scanned = checkpointed(_scan_block(docs, vocabulary, codes, passage))
         counts = scanned.where("code is not null").groupBy("code").agg(F.sum("seen").alias("seen"))
-        runs = scanned.where("doc_id is not null").select("doc_id", "run", F.monotonically_increasing_id().alias("run_id"))
+        runs = scanned.where("doc_id is not null")
 
         listed = spark.createDataFrame(pd.DataFrame(shingles, columns=["item_id", "pos", "code"]), "item_id bigint, pos int, code bigint")
         window = Window.partitionBy("item_id").orderBy("pos").rowsBetween(0, passage - SHINGLE)
@@ -212,9 +220,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, passage: int = PASSAGE,
         ends = F.max("pos").over(Window.partitionBy("item_id"))
         prefixes = rare.withColumn("last", ends).where(F.col("pos") <= F.col("last") - (passage - SHINGLE)).select("item_id", F.col("rarest.pos").alias("pos"), F.col("rarest.code").alias("code")).distinct()
 
-        code_of = F.udf(lambda run: shingle_codes(np.asarray(run, dtype=np.int64)).tolist(), "array<bigint>")
-        probes = runs.select("doc_id", "run_id", "run", F.posexplode(code_of("run")).alias("at", "code"))
-        met = probes.join(prefixes, "code").select("doc_id", "run_id", "run", "item_id", (F.col("at") - F.col("pos")).alias("shift")).dropDuplicates(["run_id", "item_id", "shift"])
+        probes = runs.select("run_id", F.posexplode("codes").alias("at", "code"))
+        met = probes.join(prefixes, "code").select("run_id", "item_id", (F.col("at") - F.col("pos")).alias("shift")).distinct().join(runs.select("run_id", "doc_id", "run"), "run_id")
         words = spark.createDataFrame(texts, "item_id bigint, words array<int>")
         part = _verified(met.join(words, "item_id").select("doc_id", "item_id", "run", "words", "shift"), passage)
         out = part if out is None else out.unionByName(part)
