@@ -2,11 +2,13 @@
 
 Method: parse the documentation tags of each function, resolve inherited documentation by iterative joins, drop what
 stays empty. C has no classes, so what a function can inherit is the documentation it names with a copy tag
-(``@copydoc name``, ``@inheritdoc name``): every round joins the functions still waiting with the documented ones of
-the same name and project, until a fixed number of rounds is used up. The rounds are run only if some comment
-holds such a tag. The step from comment to "what it says" is one pass of a line-wise parser over Arrow batches.
+(``@copydoc name``, ``@inheritdoc name``): every round joins the functions still waiting with those that came to be documented in
+the round before, of the same name and project, until a round documents none; so chains of any length are followed, and cycles
+end. The rounds are run only if some comment holds such a tag. The step from comment to "what it says" is one pass of a
+line-wise parser over Arrow batches.
 
-Scale: the parse needs no shuffle; pairs are shuffled once by symbol_id, to drop repeated rows.
+Scale: the parse needs no shuffle; pairs are shuffled once by symbol_id, to drop repeated rows. Where there are tags, the parsed functions
+are kept once in the shared checkpoint folder, and the rounds carry names and ids alone.
 """
 
 from __future__ import annotations
@@ -19,8 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.model import normal_type
-
-ROUNDS = 4
+from lodestrata.session import checkpointed, ship
 
 # Words and phrases that say nothing about what a function does.
 PLACEHOLDERS = frozenset(
@@ -215,25 +216,44 @@ def parse_functions(symbols: DataFrame) -> DataFrame:
     return src.mapInPandas(parse, "symbol_id bigint, name string, project string, full_declaration string, documentation string, said string, copy_of string")
 
 
-def function_pairs(symbols: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def inherited(parsed: DataFrame) -> DataFrame:
+    """(symbol_id, heir): for each undocumented function that names another one, the documented function whose documentation it takes over.
+
+    The nearest documented function along the names is taken, the one of least symbol_id if there are several as near. A name stands for
+    all functions of that name in the project, with all that they name.
+    """
+    known = parsed.where("said <> '' and name <> '' and symbol_id is not null").groupBy("project", "name").agg(F.min("symbol_id").alias("by"))
+    links = checkpointed(parsed.where("said = '' and copy_of is not null").select("symbol_id", "project", "name", F.col("copy_of").alias("next")).distinct())
+    fresh = known = checkpointed(known)
+    while True:
+        at = fresh.select(F.col("project").alias("p"), F.col("name").alias("n"), "by")
+        met = links.join(at, F.col("project").eqNullSafe(F.col("p")) & (F.col("next") == F.col("n"))).groupBy("project", "name").agg(F.min("by").alias("by"))
+        had = known.select(F.col("project").alias("p"), F.col("name").alias("n"))
+        fresh = checkpointed(met.join(had, F.col("project").eqNullSafe(F.col("p")) & (F.col("name") == F.col("n")), "left_anti"))
+        if fresh.isEmpty():
+            break
+        known = checkpointed(known.unionByName(fresh))
+    at = known.select(F.col("project").alias("p"), F.col("name").alias("n"), F.col("by").alias("heir"))
+    return links.join(at, F.col("project").eqNullSafe(F.col("p")) & (F.col("next") == F.col("n"))).groupBy("symbol_id").agg(F.min("heir").alias("heir"))
+
+
+def function_pairs(symbols: DataFrame) -> DataFrame:
     """(symbol_id, full_declaration, documentation, description): functions paired with what their documentation says.
 
     Functions whose documentation is empty or trivial are dropped, as are blank declarations. Repeated symbol_ids come out
     once; rows without symbol_id are kept under null, once for all. An empty table gives no rows, other columns are ignored.
-    Documentation that only names another function takes over that one's, through at most ``rounds`` steps.
+    Documentation that only names another function takes over that one's, through any number of steps; a cycle of names documents nothing.
     """
+    ship(symbols.sparkSession)
     parsed = parse_functions(symbols)
-    pairs = parsed.where("said <> ''").select("symbol_id", "full_declaration", "documentation", F.col("said").alias("description"))
     asks = F.concat_ws(" ", "comment", "full_declaration").rlike(r"[@\\]\{?(?:copydoc|copybrief|copydetails|inherit[dD]oc)")
-    if not symbols.where(asks).limit(1).isEmpty():
-        known = parsed.where("said <> '' and name <> ''").groupBy("project", "name").agg(F.max(F.struct("documentation", "said")).alias("d"))
-        open_ = parsed.where("said = '' and copy_of is not null").select("symbol_id", "project", "full_declaration", "copy_of", "name").dropDuplicates(["symbol_id"])
-        links = open_.groupBy("project", "name").agg(F.max("copy_of").alias("next"))
-        for _ in range(rounds):
-            k = known.select(F.col("project").alias("p"), F.col("name").alias("n"), "d")
-            met = open_.join(k, F.col("project").eqNullSafe(F.col("p")) & (F.col("copy_of") == F.col("n")), "left")
-            pairs = pairs.unionByName(met.where("d is not null").select("symbol_id", "full_declaration", F.col("d.documentation").alias("documentation"), F.col("d.said").alias("description")))
-            step = links.select(F.col("project").alias("p"), F.col("name").alias("n"), "next")
-            waiting = met.where("d is null").select("symbol_id", "project", "full_declaration", "copy_of", "name")
-            open_ = waiting.join(step, F.col("project").eqNullSafe(F.col("p")) & (F.col("copy_of") == F.col("n"))).select("symbol_id", "project", "full_declaration", F.col("next").alias("copy_of"), "name")
+    tagged = not symbols.where(asks).limit(1).isEmpty()
+    if tagged:
+        parsed = checkpointed(parsed)
+    pairs = parsed.where("said <> ''").select("symbol_id", "full_declaration", "documentation", F.col("said").alias("description"))
+    if tagged:
+        heirs = inherited(parsed)
+        texts = pairs.select(F.col("symbol_id").alias("heir"), "documentation", "description").dropDuplicates(["heir"])
+        waiting = parsed.where("said = '' and copy_of is not null").select("symbol_id", "full_declaration").dropDuplicates(["symbol_id"])
+        pairs = pairs.unionByName(waiting.join(heirs, "symbol_id").join(texts, "heir").select("symbol_id", "full_declaration", "documentation", "description"))
     return pairs.dropDuplicates(["symbol_id"])

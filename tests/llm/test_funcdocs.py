@@ -53,3 +53,11 @@ def test_pairs(spark):
     assert got == {1: "Frees it.", 5: "Waits.", 8: "Frees it.", 9: "Frees it.", 13: "Waits."}
     assert len(D.function_pairs(df).collect()) == len(got)
     assert D.function_pairs(df.where("false")).collect() == []
+
+
+def test_long_chains_and_cycles(spark):
+    chain = [(i, f"c{i}", "functions", "p", f"void c{i}();", "Frees it." if i == 0 else f"@copydoc c{i - 1}", None) for i in range(21)]
+    ring = [(100 + i, f"r{i}", "functions", "p", f"void r{i}();", f"@copydoc r{(i + 1) % 5}", None) for i in range(5)]
+    fork = [(200, "s", "functions", "p", "static void s();", "@copydoc r0", None), (201, "s", "functions", "p", "static void s();", "@copydoc c20", None), (202, "t", "functions", "p", "void t();", "@copydoc s", None), (203, "u", "functions", None, "void u();", "@copydoc v", None), (204, "v", "functions", None, "void v();", "Waits.", None)]
+    got = {x.symbol_id: x.description for x in D.function_pairs(spark.createDataFrame(chain + ring + fork, SYM)).collect()}
+    assert got == {**{i: "Frees it." for i in range(21)}, 201: "Frees it.", 202: "Frees it.", 203: "Waits.", 204: "Waits."}
