@@ -30,6 +30,13 @@ def test_quality():
     assert max(at) + 1 <= 1.03 * sum(lengths) / 8000 + 1
 
 
+def test_large_groups_are_placed_by_class():
+    r = random.Random(3)
+    lengths = [min(int(r.paretovariate(1.1) * 60), 8000) for _ in range(50_000)]
+    at, placed = P.pack_by_class(lengths)
+    assert sum(placed) > 0.5 * len(lengths) and max(at) + 1 <= 1.01 * sum(lengths) / 8000 + 1
+
+
 def brute_check(items, out, capacity):
     want = {}
     for g, i, n, _ in items:
@@ -58,6 +65,14 @@ def test_items(spark, bound):
     brute_check(items, out, 100)
 
 
+def test_slices_leave_no_part_filled_containers(spark):
+    r = random.Random(2)
+    items = [("a", i, r.randint(1, 40), "") for i in range(2000)]
+    df = spark.createDataFrame(items, ITEM)
+    room = brute_check(items, P.pack_items(df, "grp", ["id"], "chars", 100, slice_items=100).collect(), 100)
+    assert len(room) <= 1.02 * sum(i[2] for i in items) / 100 + 1
+
+
 def test_exact_fits_and_empty(spark):
     items = [("a", 1, 100, ""), ("a", 2, 100, ""), ("a", 3, 200, "")]
     room = brute_check(items, P.pack_items(spark.createDataFrame(items, ITEM), "grp", ["id"], "chars", 100).collect(), 100)
