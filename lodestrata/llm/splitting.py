@@ -4,8 +4,8 @@ Method: one scan gives the offsets of all boundaries of a text as sorted arrays,
 each cut is a binary search for the last boundary under the limit, the next piece starts a fixed overlap
 before the cut, and a text without any boundary in reach is cut hard at the limit.
 
-Scale: a text is split by the task that reads it; texts under the limit never leave the JVM, and nothing
-is shuffled but the narrow key that drops repeated rows.
+Scale: texts under the limit never leave the scan. The oversized ones are shuffled once by id, which drops repeated rows (a
+map-side aggregate takes those of one task together first); each text is then split by the task that has it.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import ship
+
 LIMIT, OVERLAP = 2000, 200
 
 #: Kinds of boundaries, best first: the end of a paragraph, of a line, of a statement or sentence, of a word.
@@ -72,9 +74,10 @@ def split_oversized(df: DataFrame, id_col: str, text_col: str, limit: int = LIMI
     null and empty texts give none. Repeated rows of an id come out once, split by the first of its texts in text order.
     Rows without an id are kept under a null id, once per text. Other columns of ``df`` are ignored.
     """
+    ship(df.sparkSession)
     size = F.length(text_col)
     df = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(size > (0 if keep_small else limit))
-    # The repeats are found on a digest; only one row of each id carries its text on.
+    # Rows without an id are told apart by a digest.
     first = df.groupBy("id", F.when(F.col("id").isNull(), F.xxhash64("text")).alias("h")).agg(F.min("text").alias("text"))
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
