@@ -1,18 +1,24 @@
 """Graph operators: neighbours, bounded and unbounded traversal, components, cycles, layers, order.
 
 Graphs are edge tables (src, dst). Loops run one join per round against the frontier and cut their lineage every round
-through the shared checkpoint folder. Nothing is collected to the driver but a round's row count.
+through the shared checkpoint folder. Nothing is collected to the driver but a round's row count. Components and layers of graphs
+that are small by count are worked out by one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.model import DEP_TYPES
-from lodestrata.session import checkpointed
+from lodestrata.session import checkpointed, ship
 
 MOST_ROUNDS = 200
+#: A graph of up to this many edges, which are counted, is solved by one task in linear time; larger ones are made smaller by rounds over the cluster first.
+SMALL = 250_000
 
 
 def file_edges(edges: DataFrame) -> DataFrame:
@@ -55,8 +61,26 @@ def k_hop(edges: DataFrame, starts: DataFrame, depth: int | None = 1, direction:
     Without a depth the walk goes on until nothing new is met. The filter ``kinds`` (column ``node``) applies to the result only: the
     walk passes through what it hides. Starts have depth 0; a start without edges is its own and only node.
     """
-    steps = checkpointed(directed(edges, direction))
-    seen = checkpointed(starts.select("start").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("depth")))
+    first = starts.select("start").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("depth"))
+    seen = _few_hops(first, directed(edges, direction), depth) if depth is not None and depth <= LAZY_DEPTH else _all_hops(first, directed(edges, direction), depth, most_rounds)
+    return seen if kinds is None else seen.join(kinds.select("node").distinct(), "node", "left_semi").select("start", "node", "depth")
+
+
+LAZY_DEPTH = 3
+
+
+def _few_hops(first: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
+    """One plan of ``depth`` joins; a node that is met more than once keeps its least depth."""
+    level, every = first, first
+    for k in range(1, depth + 1):
+        level = level.join(steps, F.col("node") == F.col("a")).select("start", F.col("b").alias("node")).distinct().withColumn("depth", F.lit(k))
+        every = every.unionByName(level)
+    return every.groupBy("start", "node").agg(F.min("depth").alias("depth"))
+
+
+def _all_hops(first: DataFrame, steps: DataFrame, depth: int | None, most_rounds: int) -> DataFrame:
+    """A round per step against the nodes met last, with its lineage cut."""
+    steps, seen = checkpointed(steps), checkpointed(first)
     frontier, level = seen, 0
     while level < (most_rounds if depth is None else depth):
         level += 1
@@ -68,7 +92,7 @@ def k_hop(edges: DataFrame, starts: DataFrame, depth: int | None = 1, direction:
     else:
         if depth is None:
             raise RuntimeError(f"the walk didn't end within {most_rounds} rounds")
-    return seen if kinds is None else seen.join(kinds.select("node").distinct(), "node", "left_semi").select("start", "node", "depth")
+    return seen
 
 
 def closure_with_limit(edges: DataFrame, starts: DataFrame, kinds: DataFrame, most: int = 64) -> DataFrame:
@@ -114,20 +138,137 @@ def components(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     return everyone.join(pairs.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _trimmed(edges: DataFrame) -> DataFrame:
-    """Edges on which cycles may lie: sources and sinks are peeled off until none is left, or for MOST_ROUNDS rounds."""
+def _component_names(src: list[int], dst: list[int], n: int) -> list[int]:
+    """The number of each node's component: one depth-first walk that keeps its own stack (path-based, linear)."""
+    out = [[] for _ in range(n)]
+    for a, b in zip(src, dst):
+        out[a].append(b)
+    order, comp, path, open_, count, named = [-1] * n, [-1] * n, [], [], 0, 0
+    for root in range(n):
+        if order[root] >= 0:
+            continue
+        work = [(root, iter(out[root]))]
+        order[root] = count
+        count += 1
+        path.append(root)
+        open_.append(root)
+        while work:
+            node, rest = work[-1]
+            for nxt in rest:
+                if order[nxt] < 0:
+                    order[nxt] = count
+                    count += 1
+                    path.append(nxt)
+                    open_.append(nxt)
+                    work.append((nxt, iter(out[nxt])))
+                    break
+                if comp[nxt] < 0:
+                    while order[open_[-1]] > order[nxt]:
+                        open_.pop()
+            else:
+                work.pop()
+                if open_[-1] == node:
+                    open_.pop()
+                    while True:
+                        last = path.pop()
+                        comp[last] = named
+                        if last == node:
+                            break
+                    named += 1
+    return comp
+
+
+def _edge_table(batches: Iterator[pd.DataFrame]) -> tuple[list[str], list[int], list[int]]:
+    """The names of the nodes in order, and the edges as places in them."""
+    parts = list(batches)
+    e = pd.concat(parts) if parts else pd.DataFrame({"src": [], "dst": []})
+    names = sorted(set(e["src"]) | set(e["dst"]))
+    at = {x: i for i, x in enumerate(names)}
+    return names, [at[x] for x in e["src"]], [at[x] for x in e["dst"]]
+
+
+def _components_at_once(edges: DataFrame) -> DataFrame:
+    """(node, scc) of a small graph, by one task."""
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, src, dst = _edge_table(batches)
+        comp = _component_names(src, dst, len(names))
+        least: dict[int, str] = {}
+        for name, c in zip(names, comp):
+            least.setdefault(c, name)
+        yield pd.DataFrame({"node": names, "scc": [least[c] for c in comp]})
+
+    ship(edges.sparkSession)
+    return edges.select("src", "dst").coalesce(1).mapInPandas(solve, "node string, scc string")
+
+
+def _depths_at_once(dag: DataFrame) -> DataFrame:
+    """(node, depth) of a small graph without cycles: the length of the longest path to each node, by one task."""
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, src, dst = _edge_table(batches)
+        out, waits, depth = [[] for _ in names], [0] * len(names), [0] * len(names)
+        for a, b in zip(src, dst):
+            out[a].append(b)
+            waits[b] += 1
+        ready = [i for i, w in enumerate(waits) if not w]
+        while ready:
+            a = ready.pop()
+            for b in out[a]:
+                depth[b] = max(depth[b], depth[a] + 1)
+                waits[b] -= 1
+                if not waits[b]:
+                    ready.append(b)
+        yield pd.DataFrame({"node": names, "depth": pd.Series(depth, dtype="int32")})
+
+    ship(dag.sparkSession)
+    return dag.select(F.col("u").alias("src"), F.col("v").alias("dst")).coalesce(1).mapInPandas(solve, "node string, depth int")
+
+
+def _reduced(edges: DataFrame, links: list[DataFrame], most_rounds: int | None, small: int) -> DataFrame:
+    """Edges on which cycles may lie, made short: sources and sinks are peeled off, and chains are contracted.
+
+    A node v with one way in and one way out, u -> v -> w, is on a cycle exactly if u and w are in one component, and then in that one. So v
+    gives way to an edge u -> w, and (v, u, w) is kept in ``links``. Of neighbouring ones that come first by a hash of the round give
+    way, a good third, so a ring or chain of any length takes a number of rounds that grows with its logarithm. What is ``small`` is left as it is.
+    """
     e = checkpointed(edges.where("src <> dst").select("src", "dst").distinct())
-    n = e.count()
-    for _ in range(MOST_ROUNDS):
-        e2 = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        e2 = checkpointed(e2.select("src", "dst"))
-        m = e2.count()
+    n, rounds = e.count(), 0
+    while n > small:
+        if rounds == most_rounds:
+            raise RuntimeError(f"the graph wasn't reduced within {most_rounds} rounds")
+        rounds += 1
+        ins = e.groupBy(F.col("dst").alias("v")).agg(F.count("*").alias("i"), F.min("src").alias("u"))
+        outs = e.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("o"), F.min("dst").alias("w"))
+        nodes = checkpointed(ins.join(outs, "v").select("v", "u", "w", (F.greatest("i", "o") == 1).alias("chain"), F.struct(F.xxhash64("v", F.lit(rounds)).alias("h"), F.col("v").alias("name")).alias("rank")))
+        chain = nodes.where("chain")
+        near = [chain.select(F.col("v").alias(c), F.col("rank").alias(f"rank_{c}")) for c in ("u", "w")]
+        ahead = [F.col(f"rank_{c}").isNull() | (F.col("rank") > F.col(f"rank_{c}")) for c in ("u", "w")]
+        picked = chain.join(near[0], "u", "left").join(near[1], "w", "left").where(ahead[0] & ahead[1]).select("v", "u", "w")
+        within = nodes.join(picked, "v", "left_anti").select("v")
+        kept = e.join(within.withColumnRenamed("v", "src"), "src", "left_semi").join(within.withColumnRenamed("v", "dst"), "dst", "left_semi").select("src", "dst")
+        e = checkpointed(kept.unionByName(picked.select(F.col("u").alias("src"), F.col("w").alias("dst"))).where("src <> dst").distinct())
+        m = e.count()
+        # As long as anything gives way or is peeled off, edges get fewer.
         if m == n:
-            return e2
-        e, n = e2, m
+            break
+        links.append(picked)
+        n = m
     return e
 
 
+def _restored(found: DataFrame | None, links: list[DataFrame], nodes: DataFrame) -> DataFrame | None:
+    """``found`` (node, scc) with the contracted nodes, last ones first: each belongs to the component of both its neighbours, if that is one."""
+    for link in reversed(links):
+        if found is None:
+            found = nodes.select("node", F.col("node").alias("scc")).where("false")
+        a, b = found.select(F.col("node").alias("u"), F.col("scc").alias("su")), found.select(F.col("node").alias("w"), F.col("scc").alias("sw"))
+        own = link.join(a, "u", "left").join(b, "w", "left").select("v", "u", F.coalesce("su", "u").alias("su"), F.coalesce("sw", "w").alias("sw")).where("su = sw")
+        both = own.select(F.explode(F.array("v", "u")).alias("node"), F.col("su").alias("scc"))
+        found = checkpointed(found.unionByName(both).distinct())
+    return found
+
+
 def _coloured(edges: DataFrame, most_rounds: int | None) -> DataFrame:
     """(node, c): the least node from which each node can be reached, itself included; one round per step of the longest way."""
     colour = checkpointed(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("c", F.col("node")))
@@ -143,16 +284,21 @@ def _coloured(edges: DataFrame, most_rounds: int | None) -> DataFrame:
         colour = checkpointed(colour.unionByName(pushed).groupBy("node").agg(F.min("c").alias("c")))
 
 
-def strong_components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
+def strong_components(edges: DataFrame, most_rounds: int | None = None, small: int = SMALL) -> DataFrame:
     """(node, scc): strongly connected components of the edges, named by their least node; nodes on no cycle are their own [G7].
 
-    Forward-backward colouring: after trimming, the least colour is pushed along edges until it settles; a node of colour c
+    A small graph is walked by one task. A larger one is reduced, then parted by forward-backward colouring: the least colour is pushed along edges until it settles; a node of colour c
     that reaches c backwards within the colour belongs to c's component; found components leave the graph, and the rest goes on.
     Colours only fall and each round takes out a component, so the loops end; with ``most_rounds`` they raise beyond that many.
     """
     everyone = edges.select(F.col("src").alias("node")).union(edges.select("dst")).where("node is not null").distinct()
-    rest, found, rounds = _trimmed(edges), None, 0
-    while not rest.isEmpty():
+    links: list[DataFrame] = []
+    rest, found, rounds = _reduced(edges, links, most_rounds, small), None, 0
+    while n := rest.count():
+        if n <= small:
+            part = checkpointed(_components_at_once(rest))
+            found = part if found is None else found.unionByName(part)
+            break
         if rounds == most_rounds:
             raise RuntimeError(f"components didn't settle within {most_rounds} rounds")
         rounds += 1
@@ -164,7 +310,8 @@ def strong_components(edges: DataFrame, most_rounds: int | None = None) -> DataF
         part = checkpointed(back.unionByName(colour.where("node = c")).distinct().select("node", F.col("c").alias("scc")))
         found = part if found is None else checkpointed(found.unionByName(part))
         left = rest.join(part.select(F.col("node").alias("src")), "src", "left_anti").join(part.select(F.col("node").alias("dst")), "dst", "left_anti")
-        rest = _trimmed(left)
+        rest = _reduced(left, links, most_rounds, small)
+    found = _restored(found, links, everyone)
     if found is None:
         return everyone.withColumn("scc", F.col("node"))
     named = found.groupBy("scc").agg(F.min("node").alias("least")).join(found, "scc").select("node", F.col("least").alias("scc"))
@@ -177,14 +324,17 @@ def cycle_groups(edges: DataFrame) -> DataFrame:
     return g.where("size > 1")
 
 
-def layers(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+def layers(edges: DataFrame, most_rounds: int = 10_000, small: int = SMALL) -> DataFrame:
     """(node, scc, depth): the length of the longest path from a node without dependents, components taken as one node [G8, exact].
 
     Whoever depends on a node is less deep than it, so dependencies have the greater depth.
     """
-    scc = checkpointed(strong_components(edges))
+    scc = checkpointed(strong_components(edges, small=small))
     a, b = scc.select(F.col("node").alias("src"), F.col("scc").alias("u")), scc.select(F.col("node").alias("dst"), F.col("scc").alias("v"))
     dag = checkpointed(edges.join(a, "src").join(b, "dst").where("u <> v").select("u", "v").distinct())
+    if dag.count() <= small:
+        at_once = _depths_at_once(dag).withColumnRenamed("node", "scc")
+        return scc.join(at_once, "scc", "left").select("node", "scc", F.coalesce("depth", F.lit(0)).alias("depth"))
     depth = checkpointed(scc.select(F.col("scc").alias("node")).distinct().withColumn("depth", F.lit(0)))
     moved = depth
     for level in range(1, most_rounds):

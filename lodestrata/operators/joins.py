@@ -17,28 +17,23 @@ def ranked_resolution(uses: DataFrame, registry: DataFrame) -> DataFrame:
     unless the use stands in one, those whose type fits the dependency, if any does; of the rest the longest common path
     suffix. Ties go to the first registered. A symbol doesn't resolve to itself.
 
-    A name may have a great many uses (the hot side is the use side, which is never grouped by name): the candidates of a
-    name are one narrow array, joined once; the choice is a fold over the array.
+    What is resolved is the distinct (name, path, dep_type), which a map-side aggregate gives, so a name with a great many uses
+    costs a row per file. Each is joined with its candidates as narrow rows and takes the least one by rank, a map-side aggregate again.
     """
-    candidates = registry.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("reg_order", "key", "type", F.col("path").alias("cpath")))).alias("cs"))
+    asked = uses.select("name", "path", "dep_type").distinct()
+    c = registry.select("name", F.col("key").alias("ckey"), F.col("type").alias("ctype"), F.col("path").alias("cpath"), "reg_order")
+    met = asked.join(c, "name")
     header = F.when(F.col("path").endswith(".c"), F.replace("path", F.lit(".c"), F.lit(".h")))
-    met = uses.join(candidates, "name").withColumn("header", header)
-
-    def first(cs: Column, test) -> Column:
-        return F.try_element_at(F.filter(cs, test), F.lit(1))
-
-    cs = F.col("cs")
-    same_file = first(cs, lambda c: c["cpath"] == F.col("path"))
-    sibling = first(cs, lambda c: F.coalesce(c["cpath"] == F.col("header"), F.lit(False)))
-    untested = F.filter(cs, lambda c: is_test_path(F.col("path")) | ~is_test_path(c["cpath"]))
-    pool = F.when(F.size(untested) > 0, untested).otherwise(cs)
-    met = met.withColumn("pool", pool)
-    fitting = F.filter("pool", lambda c: F.coalesce(dep_fits(F.col("dep_type"), c["type"]), F.lit(True)))
-    met = met.withColumn("pool", F.when(F.size(fitting) > 0, fitting).otherwise(F.col("pool")))
-    scored = F.transform("pool", lambda c: F.struct((-common_suffix(c["cpath"], F.col("path"))).alias("d"), c["reg_order"].alias("o"), c["key"].alias("key")))
-    best = F.array_min(scored)["key"]
-    target = F.coalesce(same_file["key"], sibling["key"], best)
-    return met.select("use_id", "src", target.alias("target")).where("target <> src").select("use_id", "target")
+    same, sibling = F.col("cpath") == F.col("path"), F.coalesce(F.col("cpath") == header, F.lit(False))
+    pooled = is_test_path(F.col("path")) | ~is_test_path(F.col("cpath"))
+    fits = F.coalesce(dep_fits(F.col("dep_type"), F.col("ctype")), F.lit(True))
+    # A pool counts only if it holds something; the ranks below keep the better pool ahead of the worse one.
+    step = F.when(same, 0).when(sibling, 1).when(pooled & fits, 2).when(pooled, 3).when(fits, 4).otherwise(5)
+    rank = F.struct(step.alias("step"), F.when(step < 2, 0).otherwise(-common_suffix(F.col("cpath"), F.col("path"))).alias("d"), "reg_order", "ckey")
+    found = met.groupBy("name", "path", "dep_type").agg(F.min(rank).alias("best")).select("name", "path", "dep_type", F.col("best.ckey").alias("target"))
+    keys = [F.col(f"u.{k}").eqNullSafe(F.col(f"f.{k}")) for k in ("name", "path", "dep_type")]
+    met = uses.alias("u").join(found.alias("f"), keys[0] & keys[1] & keys[2])
+    return met.where("f.target <> u.src").select("u.use_id", "f.target")
 
 
 def known_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -95,10 +90,12 @@ def preceding_notes(targets: DataFrame, notes: DataFrame, most: int = 3, gap: in
     w = Window.partitionBy("path").orderBy("start_line", "end_line")
     opened = F.coalesce(F.col("start_line") - F.lag("end_line").over(w) > gap, F.lit(True)).cast("int")
     blocks = notes.withColumn("opened", opened).withColumn("block", F.sum("opened").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    so_far = blocks.withColumn("texts", F.collect_list("text").over(Window.partitionBy("path", "block").orderBy("start_line", "end_line").rowsBetween(Window.unboundedPreceding, 0)))
-    ends = so_far.select("path", F.col("end_line").alias("at"), F.array_join("texts", " ").alias("note"), "start_line")
-    reach = targets.select("target_id", "path", F.col("start_line").alias("target_line"), F.explode(F.sequence(F.col("start_line") - most, F.col("start_line") - 1)).alias("at"))
-    return reach.join(ends, ["path", "at"]).groupBy("target_id").agg(F.max_by("note", F.struct("at", "start_line")).alias("note"))
+    ends = blocks.withColumn("k", F.row_number().over(Window.partitionBy("path", "block").orderBy("start_line", "end_line"))).select("path", "block", "k", F.col("end_line").alias("at"), "start_line")
+    whole = blocks.groupBy("path", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "end_line", "text"))), lambda x: x["text"]).alias("texts"))
+    reach = targets.select("target_id", "path", F.explode(F.sequence(F.col("start_line") - most, F.col("start_line") - 1)).alias("at"))
+    # A target first chooses its last note; the texts of a block are joined to what is chosen alone.
+    last = reach.join(ends, ["path", "at"]).groupBy("target_id", "path").agg(F.max(F.struct("at", "start_line", "block", "k")).alias("n"))
+    return last.select("target_id", "path", "n.block", "n.k").join(whole, ["path", "block"]).select("target_id", F.array_join(F.slice("texts", F.lit(1), F.col("k")), " ").alias("note"))
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:

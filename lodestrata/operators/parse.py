@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import strip_think, tool_call
+from lodestrata.session import ship
 
 # What counts as a group and as a value of a value-only table.
 ROW_GROUP = r"\{([^{}]+)\}"
@@ -205,6 +206,7 @@ def parse_texts(df: DataFrame, id_col: str, text_col: str, template: str) -> Dat
 
     src = df.select(F.col(id_col).alias("id"), strip_think(F.col(text_col)).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
+    ship(src.sparkSession)
     return src.mapInPandas(run, f"id {kind}, success boolean, data string").withColumnRenamed("id", id_col)
 
 
@@ -261,6 +263,7 @@ def unified_diff(df: DataFrame, id_col: str, before: str, after: str, most_chars
 
     src = df.select(F.col(id_col).alias("id"), F.col(before).alias("x"), F.col(after).alias("y"))
     kind = src.schema["id"].dataType.simpleString()
+    ship(src.sparkSession)
     return src.mapInPandas(run, f"id {kind}, diff string").withColumnRenamed("id", id_col)
 
 
@@ -312,4 +315,5 @@ class Tools:
 
         src = df.select(F.col(id_col).alias("id"), tool_call(F.col(text_col)).alias("c")).select("id", "c.name", "c.args")
         kind = src.schema["id"].dataType.simpleString()
+        ship(src.sparkSession)
         return src.mapInPandas(run, f"id {kind}, name string, result string").withColumnRenamed("id", id_col)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OVERALL = "Overall"
@@ -79,6 +79,19 @@ def merged_groups(df: DataFrame, key: str, rules: list[tuple[Column, str]], drop
     return g.unionByName(rows.agg(*[F.sum(c).alias(c) for c in sums]).withColumns({key: F.lit(OVERALL), "place": F.lit(1)}))
 
 
+def repeated(df: DataFrame, col: str, least: int, most: int) -> DataFrame:
+    """(col, n): the ``most`` values that occur ``least`` times or more, most frequent first, ties by value [A15]."""
+    return df.groupBy(col).agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), col).limit(most)
+
+
+def mean_depth(lines: DataFrame, key: str, order: str, line: str) -> DataFrame:
+    """(key, depths, lines, mean_depth): how deep the lines of a text are nested at their ends, by braces [A17]."""
+    opens = F.length(F.replace(line, F.lit("}"), F.lit(""))) - F.length(F.replace(line, F.lit("{"), F.lit("")))
+    depth = F.sum(opens).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    g = lines.select(key, depth.alias("_d")).groupBy(key).agg(F.sum("_d").alias("depths"), F.count("*").alias("lines"))
+    return g.withColumn("mean_depth", F.col("depths") / F.col("lines"))
+
+
 def percent_text(c: Column) -> Column:
     """``12.34%`` of a ratio, rounded from the binary number as Python does [F1]; for the last step of a report."""
 

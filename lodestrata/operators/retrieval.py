@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators.predicates import metadata_filter
+from lodestrata.session import ship
 
 QUERY_BLOCK = 2_000
 #: Numbers that a worker holds at once while it takes differences.
@@ -62,6 +63,7 @@ def _nearest_block(vectors: DataFrame, shared, k: int) -> DataFrame:
         m = best_d.shape[1]
         yield pd.DataFrame({"query_id": np.repeat(ids, m).astype(np.int64), "vec_id": best_i.ravel(), "dist": best_d.ravel()})
 
+    ship(vectors.sparkSession)
     return vectors.select("vec_id", "embedding").mapInPandas(search, "query_id bigint, vec_id bigint, dist double")
 
 
@@ -163,6 +165,7 @@ def split_texts(df: DataFrame, id_col: str, text_col: str, most: int = 1000, win
 
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null and text <> ''")
     kind = src.schema["id"].dataType.simpleString()
+    ship(src.sparkSession)
     return src.mapInPandas(run, f"id {kind}, chunk int, start int, end int, start_line int, end_line int, reason string, content string").withColumnRenamed("id", id_col)
 
 

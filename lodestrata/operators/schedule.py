@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.session import ship
+
 CHUNK_CHARS, BATCH_CHARS = 3000, 8000
 
 
@@ -36,6 +38,7 @@ def _folded(df: DataFrame, group: str, order: list[str], cost: str, number: str,
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + f", `{number}` int"
     sorted_ = df.where(F.col(group).isNotNull()).repartition(group).sortWithinPartitions(group, *order)
+    ship(sorted_.sparkSession)
     return sorted_.mapInPandas(run, ddl)
 
 
@@ -140,5 +143,6 @@ def in_file_order(symbols: DataFrame, edges: DataFrame) -> DataFrame:
                     place[i] = rank
         return pd.DataFrame({"path": left["path"], "key": keys, "pos": left["pos"], "place": pd.Series(place, dtype="int32")})
 
+    ship(symbols.sparkSession)
     kind = symbols.schema["pos"].dataType.simpleString()
     return symbols.select("path", "key", "name", "pos").groupBy("path").cogroup(inner.groupBy("epath")).applyInPandas(order, f"path string, key string, pos {kind}, place int")

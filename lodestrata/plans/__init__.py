@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ("core_problems", "filters", "joins", "groups", "graphs", "texts")
+NAMES = ("core_problems", "filters", "joins", "groups", "graphs", "texts", "more")
 
 
 def modules() -> list:

@@ -39,9 +39,11 @@ def _(spark, sf):
     return V.symbols(spark, sf).join(ok, "path", "left_semi").select("symbol_id", "name", "type")
 
 
-@query("pr3_lookup", f"WITH {V.sym_sql()} SELECT symbol_id, key FROM sym WHERE type = 'macros' AND name LIKE 'TANE%'")
+@query("pr3_lookup", f"WITH {V.sym_sql()} SELECT symbol_id, key FROM sym WHERE type = 'macros' AND path = (SELECT max(path) FROM sym)")
 def _(spark, sf):
-    return P.lookup(V.symbols(spark, sf), kind="macros").where(F.col("name").startswith("TANE")).select("symbol_id", "key")
+    s = V.symbols(spark, sf)
+    last = s.agg(F.max("path")).first()[0]
+    return P.lookup(s, kind="macros", path=last or "").select("symbol_id", "key")
 
 
 @query(
@@ -58,23 +60,39 @@ def _(spark, sf):
     return V.symbols(spark, sf, "start_byte", "end_byte").select("key", "path", "start_line", "end_line", "start_byte", "end_byte")
 
 
-@query(
-    "pr6_valid_refs",
-    f"WITH {V.sym_sql()}, {V.edge_sql()} SELECT DISTINCT dst_name AS name FROM edg WHERE dst_name IN (SELECT name FROM sym) AND NOT regexp_matches(dst_name, '^\\d+$')",
-)
+# The words of all definitions. The lists of the SQL are written out once more, so that a wrong one shows.
+_WORDS = f"{V.sym_sql('full_definition')}, w AS (SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(full_definition, '[A-Za-z_]\\w*|\\d+|\"[^\"\\n]*\"')) AS name FROM sym) GROUP BY name)"
+KEYWORD_LIST = """'auto', 'break', 'case', 'char', 'const', 'continue', 'default', 'do', 'double', 'else', 'enum', 'extern', 'float', 'for', 'goto', 'if', 'int', 'long', 'register', 'return', 'short',
+    'signed', 'sizeof', 'static', 'struct', 'switch', 'typedef', 'union', 'unsigned', 'void', 'volatile', 'while', 'inline', 'restrict', '_Bool', '_Complex', '_Imaginary', 'size_t', 'ssize_t', 'ptrdiff_t', 'NULL'"""
+BUILTIN_LIST = "'malloc', 'free', 'calloc', 'realloc', 'printf', 'scanf', 'strlen', 'strcpy', 'strcmp', 'strncmp', 'strcat', 'memcpy', 'memset', 'memcmp'"
+LIBRARY_LIST = """'assert', 'printf', 'scanf', 'fprintf', 'sprintf', 'snprintf', 'fopen', 'fclose', 'fread', 'fwrite', 'fgets', 'fputs', 'malloc', 'calloc', 'realloc', 'free', 'strlen', 'strcpy', 'strncpy',
+    'strcmp', 'strncmp', 'strcat', 'strncat', 'abs', 'fabs', 'sqrt', 'pow', 'sin', 'cos', 'tan', 'exit', 'abort', 'atexit', 'getenv', 'system'"""
+
+
+def _words(spark, sf):
+    s = V.symbols(spark, sf, "full_definition")
+    return s.select(F.explode(F.regexp_extract_all("full_definition", F.lit(r'([A-Za-z_]\w*|\d+|"[^"\n]*")'), F.lit(1))).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query("pr6_valid_refs", f"WITH {_WORDS} SELECT name, n FROM w WHERE name IN (SELECT name FROM sym) AND NOT regexp_matches(name, '^\\d+$') AND NOT starts_with(name, '\"') AND name NOT IN ({KEYWORD_LIST}) AND name NOT IN ({BUILTIN_LIST})")
+def _(spark, sf):
+    return P.valid_references(_words(spark, sf), V.symbols(spark, sf).select("name"))
+
+
+@query("pr6_excluded_refs", f"WITH {_WORDS} SELECT name, n FROM w WHERE regexp_matches(name, '^\\d+$') OR starts_with(name, '\"') OR name IN ({KEYWORD_LIST}) OR name IN ({BUILTIN_LIST})")
 def _(spark, sf):
-    refs = V.edges(spark, sf).select(F.col("dst_name").alias("name")).distinct()
-    return P.valid_references(refs, V.symbols(spark, sf).select("name"))
+    w = _words(spark, sf)
+    return w.join(P.valid_references(w, w.select("name")), "name", "left_anti")
 
 
-@query("pr7_keywords_dropped", f"WITH {V.sym_sql()} SELECT type, count(*) AS n FROM sym WHERE name <> '' AND name NOT IN ({', '.join(repr(k) for k in P.C_KEYWORDS)}) GROUP BY type")
+@query("pr7_keywords_dropped", f"WITH {_WORDS} SELECT name, n FROM w WHERE name NOT IN ({KEYWORD_LIST})")
 def _(spark, sf):
-    return V.symbols(spark, sf).where(~P.is_keyword(F.col("name"))).groupBy("type").agg(F.count("*").alias("n"))
+    return _words(spark, sf).where(~P.is_keyword(F.col("name")))
 
 
-@query("pr8_library_names", f"WITH {V.edge_sql()} SELECT count(*) FILTER (dst_name IN ({', '.join(repr(k) for k in P.C_LIBRARY)})) AS library, count(*) AS total FROM edg")
+@query("pr8_library_names", f"WITH {_WORDS} SELECT name, n FROM w WHERE name IN ({LIBRARY_LIST})")
 def _(spark, sf):
-    return V.edges(spark, sf).agg(F.count(F.when(P.is_library_name(F.col("dst_name")), 1)).alias("library"), F.count("*").alias("total"))
+    return _words(spark, sf).where(P.is_library_name(F.col("name")))
 
 
 @query("pr9_test_paths", f"WITH {V.sym_sql()} SELECT path, count(*) AS n FROM sym WHERE contains(lower(path), 'test') GROUP BY path")

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import char_cost
+from lodestrata.operators import extraction as E
 from lodestrata.operators import graph as G
 from lodestrata.operators import schedule as B
 from lodestrata.operators import sorts as T
 from lodestrata.plans import views as V
+from lodestrata.plans.filters import BUILTIN_LIST, KEYWORD_LIST, LIBRARY_LIST
+from lodestrata.plans.joins import ranked_sql
 from lodestrata.session import table
 
 Q: dict = {}
@@ -25,13 +28,14 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-# The first twenty sources are the named starts of the traversals; each walks over all edges.
-_STARTS = "st AS (SELECT DISTINCT src AS start FROM edg ORDER BY src LIMIT 20)"
+# The query set of the traversals: the symbols whose id is divisible by 100; each walks over all edges.
+_QUERY_SET = "symbol_id % 100 = 0"
+_STARTS = f"{V.sym_sql()}, st AS (SELECT DISTINCT key AS start FROM sym WHERE {_QUERY_SET} AND key IS NOT NULL)"
 _FILES = "fe AS (SELECT DISTINCT split_part(src, ':', 3) AS src, split_part(dst, ':', 3) AS dst FROM edg WHERE split_part(src, ':', 3) <> split_part(dst, ':', 3))"
 
 
-def _starts(e):
-    return e.select(F.col("src").alias("start")).distinct().orderBy("start").limit(20)
+def _starts(spark, sf, what: str = "key"):
+    return V.symbols(spark, sf).where(_QUERY_SET).select(F.col(what).alias("start")).where("start is not null").distinct()
 
 
 def _file_graph(spark, sf):
@@ -45,42 +49,41 @@ def _hops(step: str, depth: int, start: str = "st") -> str:
 @query("g1_two_hops", f"WITH RECURSIVE {V.edge_sql()}, {_STARTS}, {_hops('SELECT src AS a, dst AS b FROM edg', 2)} SELECT start, node, min(depth) AS depth FROM walk GROUP BY ALL")
 def _(spark, sf):
     e = V.edges(spark, sf).select("src", "dst")
-    return G.k_hop(e, _starts(e), 2)
+    return G.k_hop(e, _starts(spark, sf), 2)
 
 
 @query(
     "g1_filtered_hops",
-    f"WITH RECURSIVE {V.sym_sql()}, {V.edge_sql()}, {_STARTS}, {_hops('SELECT src AS a, dst AS b FROM edg', 3)} SELECT start, node, min(depth) AS depth FROM walk WHERE node IN (SELECT key FROM sym WHERE type = 'macros') GROUP BY ALL",
+    f"WITH RECURSIVE {V.edge_sql()}, {_STARTS}, {_hops('SELECT src AS a, dst AS b FROM edg', 3)} SELECT start, node, min(depth) AS depth FROM walk WHERE node IN (SELECT key FROM sym WHERE type = 'macros') GROUP BY ALL",
 )
 def _(spark, sf):
     e = V.edges(spark, sf).select("src", "dst")
-    return G.k_hop(e, _starts(e), 3, kinds=V.symbols(spark, sf).where("type = 'macros'").select(F.col("key").alias("node")))
+    return G.k_hop(e, _starts(spark, sf), 3, kinds=V.symbols(spark, sf).where("type = 'macros'").select(F.col("key").alias("node")))
 
 
 @query("g1_incoming", f"WITH RECURSIVE {V.edge_sql()}, {_STARTS}, {_hops('SELECT dst AS a, src AS b FROM edg', 2)} SELECT start, node, min(depth) AS depth FROM walk GROUP BY ALL")
 def _(spark, sf):
     e = V.edges(spark, sf).select("src", "dst")
-    return G.k_hop(e, _starts(e), 2, "in")
+    return G.k_hop(e, _starts(spark, sf), 2, "in")
 
 
-@query("g1_reach", f"WITH RECURSIVE {V.edge_sql()}, {_FILES}, st AS (SELECT DISTINCT src AS start FROM fe ORDER BY src LIMIT 5), walk AS (SELECT start, start AS node FROM st UNION SELECT w.start, fe.dst FROM walk w JOIN fe ON fe.src = w.node) SELECT start, node FROM walk")
+@query("g1_reach", f"WITH RECURSIVE {V.edge_sql()}, {_FILES}, {V.sym_sql()}, st AS (SELECT DISTINCT path AS start FROM sym WHERE {_QUERY_SET}), walk AS (SELECT start, start AS node FROM st UNION SELECT w.start, fe.dst FROM walk w JOIN fe ON fe.src = w.node) SELECT start, node FROM walk")
 def _(spark, sf):
-    e = _file_graph(spark, sf)
-    return G.k_hop(e, e.select(F.col("src").alias("start")).distinct().orderBy("start").limit(5), None).select("start", "node")
+    return G.k_hop(_file_graph(spark, sf), _starts(spark, sf, "path"), None).select("start", "node")
 
 
 @query(
     "g3_related_names",
-    f"WITH RECURSIVE {V.edge_sql()}, st AS (SELECT DISTINCT src_name AS start FROM edg ORDER BY 1 LIMIT 10), {_hops('SELECT src_name AS a, dst_name AS b FROM edg UNION SELECT dst_name, src_name FROM edg', 2)} SELECT start, node, min(depth) AS depth FROM walk GROUP BY ALL",
+    f"WITH RECURSIVE {V.edge_sql()}, {V.sym_sql()}, st AS (SELECT DISTINCT name AS start FROM sym WHERE {_QUERY_SET}), {_hops('SELECT src_name AS a, dst_name AS b FROM edg UNION SELECT dst_name, src_name FROM edg', 2)} SELECT start, node, min(depth) AS depth FROM walk GROUP BY ALL",
 )
 def _(spark, sf):
     e = V.edges(spark, sf).select(F.col("src_name").alias("src"), F.col("dst_name").alias("dst"))
-    return G.k_hop(e, e.select(F.col("src").alias("start")).distinct().orderBy("start").limit(10), 2, "both")
+    return G.k_hop(e, _starts(spark, sf, "name"), 2, "both")
 
 
-@query("g4_neighbours", f"WITH {V.edge_sql()} SELECT DISTINCT src, dst, dep_type FROM edg WHERE src_name LIKE 'ka%' AND split_part(src, ':', 2) = 'functions'")
+@query("g4_neighbours", f"WITH {V.edge_sql()} SELECT DISTINCT src, dst, dep_type FROM edg WHERE split_part(src, ':', 2) = 'functions'")
 def _(spark, sf):
-    e = V.edges(spark, sf).where(F.col("src_name").startswith("ka") & (F.split("src", ":", 3)[1] == "functions"))
+    e = V.edges(spark, sf).where(F.split("src", ":", 3)[1] == "functions")
     return e.select("src", "dst", "dep_type").distinct()
 
 
@@ -89,11 +92,18 @@ def _(spark, sf):
     return V.edges(spark, sf).where("dep_type = 'function_call'").groupBy("dst").agg(F.countDistinct("src").alias("callers"))
 
 
-@query("g6_bounded_view", f"WITH RECURSIVE {V.edge_sql()}, st AS (SELECT min(src) AS start FROM edg), {_hops('SELECT src AS a, dst AS b FROM edg', 2)}, m AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node) SELECT 'out' AS side, node, depth FROM m WHERE depth > 0 ORDER BY depth, node LIMIT 50")
+_VIEW = "SELECT node, min(depth) AS depth FROM {0} WHERE depth > 0 AND node NOT IN (SELECT start FROM st) GROUP BY node ORDER BY depth, node LIMIT 50"
+
+
+@query(
+    "g6_bounded_view",
+    f"""WITH RECURSIVE {V.edge_sql()}, st AS (SELECT min(src) AS start FROM edg WHERE src IN (SELECT dst FROM edg)), {_hops('SELECT src AS a, dst AS b FROM edg', 2)}, {_hops('SELECT dst AS a, src AS b FROM edg', 2).replace('walk', 'back')}
+        SELECT 'out' AS side, * FROM ({_VIEW.format('walk')}) UNION ALL SELECT 'in', * FROM ({_VIEW.format('back')})""",
+)
 def _(spark, sf):
     e = V.edges(spark, sf).select("src", "dst")
-    start = e.agg(F.min("src")).first()[0]
-    return G.bounded_view(e, start or "", 2, 50).where("side = 'out'")
+    start = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").agg(F.min("src")).first()[0]
+    return G.bounded_view(e, start or "", 2, 50)
 
 
 _REACH = "r AS (SELECT src AS a, dst AS b FROM fe UNION SELECT r.a, fe.dst FROM r JOIN fe ON fe.src = r.b)"
@@ -154,10 +164,77 @@ def _(spark, sf):
     return G.identifier_uses(texts, s.select("name"))
 
 
-@query("g14_dep_types", f"WITH {V.sym_sql()}, {V.edge_sql()} SELECT edge_id, CASE split_part(dst, ':', 2) WHEN 'macros' THEN 'macro_use' WHEN 'structs' THEN 'type_reference' WHEN 'typedefs' THEN 'type_reference' WHEN 'enums' THEN 'enum_use' WHEN 'functions' THEN 'function_call' ELSE 'variable_use' END AS inferred FROM edg")
+@query(
+    "g14_dep_types",
+    f"""WITH {V.sym_sql('full_definition')}, k AS (SELECT name, arg_min(type, (symbol_id, type)) AS kind FROM sym GROUP BY name),
+        u AS (SELECT DISTINCT regexp_extract(m, '^\\w+') AS name, regexp_extract(m, '^\\w+\\s*(.*)$', 1) AS next_text FROM (SELECT unnest(regexp_extract_all(full_definition, '[A-Za-z_]\\w*(?:\\s*(?:->|[(.;,)]))?')) AS m FROM sym))
+        SELECT name, next_text, CASE WHEN kind = 'macros' THEN 'macro_use' WHEN next_text = '(' THEN 'function_call' WHEN next_text IN ('->', '.') THEN 'struct_member' WHEN kind IN ('structs', 'typedefs') THEN 'type_reference'
+          WHEN kind = 'enums' THEN 'enum_use' WHEN kind = 'functions' THEN 'function_call' ELSE 'variable_use' END AS inferred FROM u JOIN k USING (name)""",
+)
 def _(spark, sf):
-    e = V.edges(spark, sf)
-    return e.select("edge_id", G.infer_dep_type(F.col("dst_name"), F.lit(""), F.split("dst", ":", 3)[1]).alias("inferred"))
+    s = V.symbols(spark, sf, "full_definition")
+    kinds = s.groupBy("name").agg(F.min_by("type", F.struct("symbol_id", "type")).alias("kind"))
+    m = s.select(F.explode(F.regexp_extract_all("full_definition", F.lit(r"([A-Za-z_]\w*(?:\s*(?:->|[(.;,)]))?)"), F.lit(1))).alias("m"))
+    u = m.select(F.regexp_extract("m", r"^(\w+)", 1).alias("name"), F.regexp_extract("m", r"^\w+\s*(.*)$", 1).alias("next_text")).distinct()
+    return u.join(kinds, "name").select("name", "next_text", G.infer_dep_type(F.col("name"), F.col("next_text"), F.col("kind")).alias("inferred"))
+
+
+# Extraction, over source texts in which the edges are planted: a function per source, a line per edge; the same steps as SQL.
+_PLANTED = """CASE WHEN edge_id % 7 = 0 THEN '    int ' || dst_name || ' = 0;' || chr(10) ELSE '' END || CASE dep_type WHEN 'function_call' THEN '    x = ' || dst_name || ' (1, "' || dst_name || '");' WHEN 'struct_member' THEN '    p->' || dst_name || '(n);'
+    WHEN 'type_reference' THEN CASE WHEN edge_id % 2 = 0 THEN '    struct ' || dst_name || ' *q;' ELSE '    ' || dst_name || ' q = {0};' END WHEN 'enum_use' THEN '    /* ' || dst_name || ' */ // ' || dst_name ELSE '    y += ' || dst_name || ' * sizeof(' || src_name || ');' END"""
+_SCRUB = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '//.*|/\\*.*?\\*/', '', 'g'), '"(?:\\\\"|.)*?"', '""', 'g'), '''(?:\\\\''|.)*?''', '''''', 'g'), '^\\s+|\\s+$', '', 'g')"""
+_DECL = r"^\s*(?:(?:static|const|extern|register|volatile|unsigned|signed|struct|union|enum)\s+)*([A-Za-z_]\w*)([\s*]+)([A-Za-z_]\w*)\s*(=|;|,|\[)"
+_NO_TYPE = "('return', 'goto', 'else', 'case', 'typedef', 'sizeof')"
+_USES = f"""{V.sym_sql()}, {V.edge_sql()}, t AS (SELECT src AS key, 'functions' AS type, split_part(src, ':', 3) AS path, 10 AS start_line, 'void ' || src_name || '(int n, char *p)' || chr(10) || '{{' || chr(10) || string_agg({_PLANTED}, chr(10) ORDER BY edge_id) || chr(10) || '}}' AS text FROM edg GROUP BY src, src_name),
+    reg AS (SELECT key, min(symbol_id) AS reg_order, min(name) AS name, min(type) AS type, min(path) AS path FROM sym GROUP BY key),
+    l0 AS (SELECT key, type, coalesce(start_line, 0) + unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS line_no, unnest(string_split(text, chr(10))) AS raw FROM t),
+    l1 AS (SELECT key, type, line_no, {_SCRUB} AS line FROM l0 WHERE NOT regexp_matches(raw, '^\\s*(?:\\*(?:\\s|/|$)|/\\*[^/]*$)')),
+    l2 AS (SELECT *, regexp_extract(line, '{_DECL}', 1) AS o, regexp_extract(line, '{_DECL}', 2) AS apart, regexp_extract(line, '{_DECL}', 3) AS d, regexp_extract(line, '{_DECL}', 4) AS e FROM l1),
+    l3 AS (SELECT key, type, line_no, line, CASE WHEN o IN {_NO_TYPE} THEN '' ELSE o END AS of, CASE WHEN o IN {_NO_TYPE} THEN '' ELSE d END AS declared, apart, e FROM l2),
+    loc AS (SELECT DISTINCT key, declared AS name FROM l3 WHERE type = 'functions' AND declared <> '' AND NOT contains(apart, '*') AND e <> '['
+            UNION SELECT key, regexp_extract(p, '^\\s*(?:(?:const|unsigned|signed|struct|union|enum)\\s+)*[A-Za-z_]\\w*\\s+([A-Za-z_]\\w*)\\s*$', 1) FROM (SELECT key, unnest(string_split(regexp_extract(text, '\\(([^()]*)\\)', 1), ',')) AS p FROM t WHERE type = 'functions')),
+    h AS (SELECT DISTINCT key, line_no, of, declared, regexp_extract(m, '^(->|\\.|(?:struct|union|enum)\\b)', 1) AS lead, ends_with(m, '(') AS call, regexp_extract(m, '([A-Za-z_]\\w*)\\s*\\(?$', 1) AS name
+          FROM (SELECT *, unnest(regexp_extract_all(line, '(?:\\b(?:struct|union|enum)\\s+|->\\s*|\\.\\s*)?[A-Za-z_]\\w*(?:\\s*\\()?')) AS m FROM l3)),
+    kn AS (SELECT name, bool_or(type = 'macros') OR (regexp_matches(name, '[A-Z]') AND upper(name) = name AND contains(name, '_')) OR regexp_matches(name, '^(BINN_|API|MAX_|MIN_|_)') AS macro, arg_min(type, (reg_order, type)) FILTER (type <> 'variables') AS known FROM reg GROUP BY name),
+    u0 AS (SELECT h.*, macro, known, loc.key IS NOT NULL AS local FROM h JOIN kn USING (name) LEFT JOIN loc ON loc.key = h.key AND loc.name = h.name WHERE h.name NOT IN ({KEYWORD_LIST}) AND h.name NOT IN ({BUILTIN_LIST})),
+    us AS (SELECT DISTINCT key, name, line_no, unnest(CASE WHEN lead IN ('struct', 'union', 'enum') THEN ['type_reference'] WHEN lead <> '' AND call THEN ['function_call', 'struct_member'] WHEN lead <> '' THEN ['struct_member']
+            WHEN local THEN [] WHEN call AND macro THEN ['function_call', 'macro_use'] WHEN call THEN ['function_call'] WHEN declared <> '' AND name = of THEN ['type_reference'] WHEN declared <> '' THEN []
+            ELSE [CASE WHEN macro THEN 'macro_use' WHEN known = 'functions' THEN 'function_call' WHEN known IN ('structs', 'typedefs') THEN 'type_reference' WHEN known = 'enums' THEN 'enum_use' ELSE 'variable_use' END] END) AS dep_type FROM u0)"""
+
+
+def _definitions(spark, sf):
+    i, to, own = F.col("edge_id"), F.col("dst_name"), F.col("src_name")
+    line = (
+        F.when(F.col("dep_type") == "function_call", F.concat(F.lit("    x = "), to, F.lit(' (1, "'), to, F.lit('");')))
+        .when(F.col("dep_type") == "struct_member", F.concat(F.lit("    p->"), to, F.lit("(n);")))
+        .when((F.col("dep_type") == "type_reference") & (i % 2 == 0), F.concat(F.lit("    struct "), to, F.lit(" *q;")))
+        .when(F.col("dep_type") == "type_reference", F.concat(F.lit("    "), to, F.lit(" q = {0};")))
+        .when(F.col("dep_type") == "enum_use", F.concat(F.lit("    /* "), to, F.lit(" */ // "), to))
+        .otherwise(F.concat(F.lit("    y += "), to, F.lit(" * sizeof("), own, F.lit(");")))
+    )
+    local = F.when(i % 7 == 0, F.concat(F.lit("    int "), to, F.lit(" = 0;\n"))).otherwise("")
+    rows = V.edges(spark, sf).select("src", "src_name", F.struct(i.alias("i"), F.concat(local, line).alias("line")).alias("l"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n")
+    text = F.concat(F.lit("void "), F.col("src_name"), F.lit("(int n, char *p)\n{\n"), F.col("body"), F.lit("\n}"))
+    return rows.groupBy("src", "src_name").agg(body.alias("body")).select(F.col("src").alias("key"), F.lit("functions").alias("type"), F.split("src", ":", 3)[2].alias("path"), F.lit(10).alias("start_line"), text.alias("text"))
+
+
+def _registered(spark, sf):
+    return V.symbols(spark, sf).groupBy("key").agg(F.min("symbol_id").alias("reg_order"), F.min("name").alias("name"), F.min("type").alias("type"), F.min("path").alias("path"))
+
+
+@query("g12_uses", f"WITH {_USES} SELECT key, name, line_no, dep_type FROM us")
+def _(spark, sf):
+    return E.extracted_uses(_definitions(spark, sf), _registered(spark, sf))
+
+
+@query(
+    "g16_edges",
+    f"""WITH {_USES}, uses AS (SELECT us.key AS src, us.name, t.path, line_no, dep_type FROM us JOIN t USING (key) WHERE us.name NOT IN ({LIBRARY_LIST})), {ranked_sql('src, line_no, dep_type, name')}
+        SELECT DISTINCT src, key AS dst, dep_type, line_no AS start_line, line_no AS end_line FROM d WHERE rn = 1 AND key <> src""",
+)
+def _(spark, sf):
+    return E.extracted_edges(_definitions(spark, sf), _registered(spark, sf))
 
 
 @query("g17_registry", f"WITH {V.sym_sql()}, r AS (SELECT name, key, min(symbol_id) AS o FROM sym GROUP BY name, key) SELECT name, list(key ORDER BY o, key) AS keys FROM r GROUP BY name")
@@ -176,7 +253,7 @@ def _(spark, sf):
 def _(spark, sf):
     e = V.edges(spark, sf).select("src", "dst").distinct()
     kinds = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("is_function", F.split("node", ":", 3)[1] == "functions")
-    return G.closure_with_limit(e, _starts(e), kinds, 64)
+    return G.closure_with_limit(e, _starts(spark, sf), kinds, 64)
 
 
 @query("g_weak_components", f"WITH RECURSIVE {V.edge_sql()}, {_FILES}, n AS (SELECT src AS node FROM fe UNION SELECT dst FROM fe), r AS (SELECT node AS a, node AS b FROM n UNION SELECT r.a, s.y FROM r JOIN (SELECT src AS x, dst AS y FROM fe UNION SELECT dst, src FROM fe) s ON s.x = r.b) SELECT a AS node, min(b) AS component FROM r GROUP BY a")

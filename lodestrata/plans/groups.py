@@ -143,15 +143,21 @@ def _(spark, sf):
     return R.unweighted_mean(a.unionByName(b), ["share"])
 
 
-@query("a15_repeated_failures", "SELECT error_text, count(*) AS n FROM file_analysis WHERE NOT parse_success AND coalesce(error_text, '') <> '' GROUP BY error_text HAVING count(*) >= 2 ORDER BY n DESC, error_text LIMIT 10")
+@query("a15_repeated_failures", "SELECT what, count(*) AS n FROM (SELECT regexp_extract(line, '^\\[\\w+\\] (?:error|warning): (.*\\S)', 1) AS what FROM run_logs) WHERE what <> '' GROUP BY what HAVING count(*) >= 2 ORDER BY n DESC, what LIMIT 10")
 def _(spark, sf):
-    f = table(spark, sf, "file_analysis").where("not parse_success and coalesce(error_text, '') <> ''")
-    return f.groupBy("error_text").agg(F.count("*").alias("n")).where("n >= 2").orderBy(F.desc("n"), "error_text").limit(10)
+    f = table(spark, sf, "run_logs").select(F.regexp_extract("line", r"^\[\w+\] (?:error|warning): (.*\S)", 1).alias("what")).where("what <> ''")
+    return R.repeated(f, "what", 2, 10)
 
 
-@query("a17_mean_length", "SELECT lang, floor(avg(n_chars))::BIGINT AS mean_chars FROM documents GROUP BY lang")
+@query(
+    "a17_mean_depth",
+    f"""WITH {V.sym_sql('full_definition')}, l AS (SELECT symbol_id, generate_subscripts(string_split(full_definition, chr(10)), 1) AS row, unnest(string_split(full_definition, chr(10))) AS line FROM sym WHERE full_definition <> ''),
+        d AS (SELECT symbol_id, sum(len(replace(line, '}}', '')) - len(replace(line, '{{', ''))) OVER (PARTITION BY symbol_id ORDER BY row) AS depth FROM l)
+        SELECT symbol_id, sum(depth)::BIGINT AS depths, count(*) AS lines, sum(depth) / count(*) AS mean_depth FROM d GROUP BY symbol_id""",
+)
 def _(spark, sf):
-    return table(spark, sf, "documents").groupBy("lang").agg(F.floor(F.avg("n_chars")).alias("mean_chars"))
+    s = V.symbols(spark, sf, "full_definition").where("full_definition <> ''").select("symbol_id", F.posexplode(F.split("full_definition", "\n")).alias("row", "line"))
+    return R.mean_depth(s, "symbol_id", "row", "line")
 
 
 @query("a18_name_types", f"WITH {V.sym_sql()} SELECT name, list_sort(list(DISTINCT type)) AS types, list_sort(list(DISTINCT path)) AS paths FROM sym GROUP BY name")

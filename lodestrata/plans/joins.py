@@ -42,17 +42,21 @@ _SUFFIX = """(SELECT count(*) FROM (SELECT unnest(generate_series(1, least(len(s
     WHERE list_reverse(string_split(c.path, '/'))[:i] = list_reverse(string_split(u.path, '/'))[:i])"""
 
 
+def ranked_sql(use: str) -> str:
+    """Tables up to d (rn = 1 is the choice) over uses (name, src, path, dep_type, ...) and reg; ``use`` lists the columns that tell a use from others."""
+    return f"""cand AS (SELECT u.*, c.key, c.reg_order, c.path = u.path AS same, ends_with(u.path, '.c') AND c.path = replace(u.path, '.c', '.h') AS sib,
+                   contains(lower(c.path), 'test') AND NOT contains(lower(u.path), 'test') AS tested, {_FITS} AS fits, {_SUFFIX} AS suffix FROM uses u JOIN reg c ON c.name = u.name),
+        a AS (SELECT *, bool_and(tested) OVER (PARTITION BY {use}) AS all_tested FROM cand),
+        b AS (SELECT *, all_tested OR NOT tested AS pooled FROM a),
+        c AS (SELECT *, max((pooled AND fits)::INT) OVER (PARTITION BY {use}) = 0 AS none_fits FROM b),
+        d AS (SELECT *, row_number() OVER (PARTITION BY {use} ORDER BY CASE WHEN same THEN 0 WHEN sib THEN 1 WHEN pooled AND (fits OR none_fits) THEN 2 ELSE 3 END,
+                   CASE WHEN same OR sib THEN 0 ELSE -suffix END, reg_order) AS rn FROM c)"""
+
+
 @query(
     "j1_ranked_resolution",
     f"""WITH {V.sym_sql()}, {V.edge_sql()}, {_REGISTRY},
-        uses AS (SELECT edge_id AS use_id, dst_name AS name, src, split_part(src, ':', 3) AS path, dep_type FROM edg),
-        cand AS (SELECT u.use_id, u.src, c.key, c.reg_order, c.path = u.path AS same, ends_with(u.path, '.c') AND c.path = replace(u.path, '.c', '.h') AS sib,
-                   contains(lower(c.path), 'test') AND NOT contains(lower(u.path), 'test') AS tested, {_FITS} AS fits, {_SUFFIX} AS suffix FROM uses u JOIN reg c ON c.name = u.name),
-        a AS (SELECT *, bool_and(tested) OVER w AS all_tested FROM cand WINDOW w AS (PARTITION BY use_id)),
-        b AS (SELECT *, all_tested OR NOT tested AS pooled FROM a),
-        c AS (SELECT *, max((pooled AND fits)::INT) OVER (PARTITION BY use_id) = 0 AS none_fits FROM b),
-        d AS (SELECT *, row_number() OVER (PARTITION BY use_id ORDER BY CASE WHEN same THEN 0 WHEN sib THEN 1 WHEN pooled AND (fits OR none_fits) THEN 2 ELSE 3 END,
-                   CASE WHEN same OR sib THEN 0 ELSE -suffix END, reg_order) AS rn FROM c)
+        uses AS (SELECT edge_id AS use_id, dst_name AS name, src, split_part(src, ':', 3) AS path, dep_type FROM edg), {ranked_sql('use_id')}
         SELECT use_id, key AS target FROM d WHERE rn = 1 AND key <> src""",
 )
 def _(spark, sf):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import re
 import tempfile
@@ -39,36 +40,44 @@ _SHIPPED: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Hand this package to the Python workers, once per application: they may not have it on their path.
 
-    The archive lies in the shared folder where that is a file path; Spark's file server takes it to the executors.
+    Every operator that uses Python workers calls this. The archive lies in the shared folder, from where Spark takes it to the executors.
     """
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    shared = re.sub(r"^file:(//)?(?=/)", "", checkpoint_folder(spark))
-    folder = Path(shared) / f"code-{sc.applicationId}" if shared.startswith("/") else Path(tempfile.mkdtemp(prefix="lodestrata-code-"))
-    folder.mkdir(parents=True, exist_ok=True)
-    archive = folder / "lodestrata.zip"
+    archive = io.BytesIO()
     with zipfile.ZipFile(archive, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(str(archive))
+    path = f"{checkpoint_folder(spark).rstrip('/')}/code-{sc.applicationId}/lodestrata.zip"
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(archive.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables below ``sf_dir``."""
-    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; only where the setting is absent (tests on one machine) a temporary one."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only on one machine (``local[n]``), where the setting is absent, a temporary one; a cluster without the setting raises.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestrata-ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.session import ship
+
 TEXT_LIMIT = 64_000
+BINARY_KINDS = {"pdf", "doc", "xls", "xlsx", "ppt", "pptx"}
 
 
 def scan_files(spark: SparkSession, root: str, suffixes: list[str]) -> DataFrame:
@@ -25,20 +29,30 @@ def decoded(content: Column) -> Column:
     return F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(F.decode(content, "ISO-8859-1"))
 
 
-def read_documents(spark: SparkSession, root: str, suffixes: list[str]) -> DataFrame:
-    """(path, kind, text): text documents by extension; docx files become markdown, one worker each; other formats are read as text."""
+def read_documents(spark: SparkSession, root: str, suffixes: list[str], converters: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+    """(path, kind, text): text documents by extension; files of a kind with a converter, as docx has, become text by it, one worker each.
+
+    Binary formats without a converter, such as pdf, raise; other formats are read as text.
+    """
+    known = {"docx": docx_markdown, **(converters or {})}
+    wanted = {s.lower().lstrip(".") for s in suffixes}
+    if wanted & BINARY_KINDS - set(known):
+        raise ValueError(f"no converter for {', '.join(sorted(wanted & BINARY_KINDS - set(known)))}")
     files = scan_files(spark, root, suffixes)
     kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    plain = files.where(kind != "docx").select("path", kind.alias("kind"), decoded(F.col("content")).alias("text"))
-    if not any(s.lower().lstrip(".") == "docx" for s in suffixes):
+    converted = sorted(wanted & set(known))
+    plain = files.where(~kind.isin(*converted)) if converted else files
+    plain = plain.select("path", kind.alias("kind"), decoded(F.col("content")).alias("text"))
+    if not converted:
         return plain
     import pandas as pd
 
     def convert(batches):
         for b in batches:
-            yield pd.DataFrame({"path": b["path"], "kind": "docx", "text": [docx_markdown(bytes(c)) for c in b["content"]]})
+            yield pd.DataFrame({"path": b["path"], "kind": b["kind"], "text": [known[k](bytes(c)) for k, c in zip(b["kind"], b["content"])]})
 
-    return plain.unionByName(files.where(kind == "docx").select("path", "content").mapInPandas(convert, "path string, kind string, text string"))
+    ship(files.sparkSession)
+    return plain.unionByName(files.where(kind.isin(*converted)).select("path", kind.alias("kind"), "content").mapInPandas(convert, "path string, kind string, text string"))
 
 
 def docx_markdown(content: bytes) -> str:

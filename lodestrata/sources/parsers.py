@@ -8,13 +8,16 @@ of distribution and nothing is shuffled.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.operators.parse import balanced
+from lodestrata.session import ship
 
 COLUMNS = ["type", "name", "start_line", "end_line", "start_byte", "end_byte", "full_declaration", "full_definition", "comment"]
 _DDL = "path string, type string, name string, start_line int, end_line int, start_byte int, end_byte int, full_declaration string, full_definition string, comment string"
@@ -30,6 +33,21 @@ RUST_ITEMS = {"fn": "Function", "struct": "Struct", "enum": "Enum", "const": "Co
 _RUST = re.compile(r"^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?(?:(?:async|unsafe|const|extern(?:[ \t]+\"[^\"]*\")?)[ \t]+)*(?P<kw>fn|struct|enum|const|static|type|union|mod|macro_rules!)[ \t]+(?:mut[ \t]+)?(?P<name>[A-Za-z_]\w*)|^[ \t]*(?:unsafe[ \t]+)?impl\b(?P<impl>[^{;]*)", re.M)
 
 
+class _Places:
+    """Line numbers and byte offsets of places in a text, from tables made once."""
+
+    def __init__(self, text: str) -> None:
+        self.breaks = [m.start() for m in re.finditer("\n", text)]
+        self.bytes = None if text.isascii() else np.concatenate([[0], np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in text])])
+
+    def line(self, at: int) -> int:
+        """How many line ends stand ahead of the place."""
+        return bisect_left(self.breaks, at)
+
+    def byte(self, at: int) -> int:
+        return at if self.bytes is None else int(self.bytes[at])
+
+
 def _masked(text: str) -> str:
     """The text with comments and literals blanked, at the same offsets."""
     blank = lambda m: re.sub(r"[^\n]", " ", m.group())
@@ -73,18 +91,15 @@ def _statements(code: str) -> Iterator[tuple[int, int, int]]:
         yield start, n, brace
 
 
-def _notes_ahead(text: str, start: int) -> str:
-    """The comments that end at most three lines ahead of ``start``, joined."""
-    ahead, out = text[:start].rstrip(" \t"), []
-    while True:
-        bare = ahead.rstrip()
-        if ahead[len(bare) :].count("\n") > 3:
-            break
-        m = re.search(r"(/\*(?:(?!\*/).)*\*/|//[^\n]*)\Z", bare, re.S)
-        if not m:
+def _notes_ahead(text: str, comments: list[tuple[int, int]], start: int) -> str:
+    """The comments (spans in order) that end at most three lines ahead of ``start``, one after the other, joined."""
+    out, k = [], bisect_right(comments, start, key=lambda c: c[1]) - 1
+    while k >= 0:
+        gap = text[comments[k][1] : start]
+        if gap.strip() or gap.count("\n") > 3:
             break
-        out.append(m.group())
-        ahead = bare[: m.start()]
+        out.append(text[slice(*comments[k])])
+        start, k = comments[k][0], k - 1
     return " ".join(reversed(out))
 
 
@@ -102,11 +117,11 @@ def declared_name(head: str) -> str:
 
 def parse_c(path: str, text: str) -> list[tuple]:
     """The top-level elements of a C file: functions, structs (and unions), enums, typedefs, variables, macros and includes."""
-    code, rows = _masked(text), []
+    code, rows, places, comments = _masked(text), [], _Places(text), [m.span() for m in _COMMENT.finditer(text)]
 
     def add(kind: str, name: str, a: int, b: int, declaration: str, definition: str = "") -> None:
         whole = text[a:b]
-        rows.append((kind, name, text.count("\n", 0, a) + 1, text.count("\n", 0, b) + (0 if whole.endswith("\n") else 1), len(text[:a].encode()), len(text[:b].encode()), declaration, definition, _notes_ahead(text, a)))
+        rows.append((kind, name, places.line(a) + 1, places.line(b) + (0 if whole.endswith("\n") else 1), places.byte(a), places.byte(b), declaration, definition, _notes_ahead(text, comments, a)))
 
     for m in _INCLUDE.finditer(text):
         if code[m.start() : m.start(1)].strip():
@@ -133,7 +148,7 @@ def parse_c(path: str, text: str) -> list[tuple]:
 
 def parse_rust(path: str, text: str) -> list[tuple]:
     """The items of a Rust file, nested ones included; an impl is listed under the type it is for [S25, H29 to H32]."""
-    code, rows = _masked(text), []
+    code, rows, places, comments = _masked(text), [], _Places(text), [m.span() for m in _COMMENT.finditer(text)]
     for m in _RUST.finditer(code):
         a = m.start() + len(m.group()) - len(m.group().lstrip())
         brace, stop = code.find("{", m.end()), code.find(";", m.end())
@@ -148,7 +163,7 @@ def parse_rust(path: str, text: str) -> list[tuple]:
             kind, name = "Impl", names[-1] if names else ""
         else:
             kind, name = RUST_ITEMS[m.group("kw")], m.group("name")
-        rows.append((kind, name, text.count("\n", 0, a) + 1, text.count("\n", 0, end) + 1, len(text[:a].encode()), len(text[:end].encode()), text[a : brace if a < brace < end else end].strip(), text[a:end], _notes_ahead(text, a)))
+        rows.append((kind, name, places.line(a) + 1, places.line(end) + 1, places.byte(a), places.byte(end), text[a : brace if a < brace < end else end].strip(), text[a:end], _notes_ahead(text, comments, a)))
     return rows
 
 
@@ -174,4 +189,5 @@ def parse_files(files: DataFrame, parser: Callable[[str, str], list[tuple]] | No
                     continue
             yield pd.DataFrame(rows, columns=["path", *COLUMNS])
 
+    ship(files.sparkSession)
     return files.select("path", "text").where((F.length("text") > 0) & F.col("path").isNotNull()).mapInPandas(run, _DDL)

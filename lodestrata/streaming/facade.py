@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.session import checkpoint_folder, table
+from lodestrata.session import checkpoint_folder, ship, table
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -55,6 +55,7 @@ def repeated_calls(stream: DataFrame, key: str, call: str, k: int) -> DataFrame:
         state.update((last, n))
         yield pd.DataFrame(out, columns=[key, call, "n"])
 
+    ship(stream.sparkSession)
     kind = stream.schema[key].dataType.simpleString()
     from pyspark.sql.streaming.state import GroupStateTimeout
 

@@ -69,7 +69,7 @@ def test_counter_example(spark):
 
 
 @pytest.mark.parametrize("direction", ["out", "in", "both"])
-@pytest.mark.parametrize("depth", [0, 1, 2, None])
+@pytest.mark.parametrize("depth", [0, 2, 5, None])
 def test_k_hop(spark, direction, depth):
     edges = random_graph(7)
     step = {"out": edges, "in": [(d, s) for s, d in edges], "both": edges + [(d, s) for s, d in edges]}[direction]
@@ -123,7 +123,28 @@ def test_uses(spark, rows):
 
 
 def test_unsettled_components_raise(spark):
-    cycle = [(f"n{i}", f"n{(i + 1) % 5}") for i in range(5)]
+    cycle = [(f"n{i}", f"n{(i + k) % 9}") for i in range(9) for k in (1, 2)]
     with pytest.raises(RuntimeError):
-        G.strong_components(frame(spark, cycle), 2)
-    assert {x.scc for x in G.strong_components(frame(spark, cycle)).collect()} == {"n0"}
+        G.strong_components(frame(spark, cycle), 2, small=0)
+    assert {x.scc for x in G.strong_components(frame(spark, cycle), small=0).collect()} == {"n0"}
+
+
+def test_long_rings_and_chains(spark):
+    """A ring of 500 with a chain of 300 that leads to it and a small cycle on the way."""
+    ring = [(f"r{i:03d}", f"r{(i + 1) % 500:03d}") for i in range(500)]
+    chain = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(300)] + [("c300", "r000"), ("c150", "x"), ("x", "c150")]
+    got = {x.node: x.scc for x in G.strong_components(frame(spark, ring + chain)).collect()}
+    want = {f"r{i:03d}": "r000" for i in range(500)} | {f"c{i:03d}": f"c{i:03d}" for i in range(301)} | {"x": "c150"}
+    assert got == want
+    assert max(x.depth for x in G.layers(frame(spark, chain)).collect()) == 300
+
+
+@pytest.mark.parametrize("small", [0, 8])
+def test_rounds_over_the_cluster(spark, small):
+    """The same by rounds: rings and chains are contracted, the rest is coloured or left to one task when it is small."""
+    edges = [(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)] + [("a", "b"), ("b", "c"), ("c", "a"), ("b", "a"), ("c", "r3"), ("r5", "z"), ("y", "a"), ("c", "d"), ("d", "c")]
+    assert {x.node: x.scc for x in G.strong_components(frame(spark, edges), small=small).collect()} == brute_scc(edges)
+
+
+def test_layers_by_rounds(spark):
+    assert {x.node: x.depth for x in G.layers(frame(spark, [("a", "b"), ("b", "c"), ("a", "c"), ("c", "b")]), small=0).collect()} == {"a": 0, "b": 1, "c": 1}
