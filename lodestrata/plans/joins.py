@@ -223,19 +223,23 @@ def _(spark, sf):
 # Contexts ------------------------------------------------------------------------------------------------
 
 
+# The source texts are made up; a file has as many lines as the edges from it reach.
+_REACHED = "SELECT split_part(src, ':', 3) AS path, max(greatest(start_line, coalesce(end_line, start_line))) AS n FROM edg WHERE start_line IS NOT NULL GROUP BY 1"
+
+
 @query(
     "j6_in_edge_snippets",
-    f"""WITH {V.edge_sql()}, t AS (SELECT file_path AS path, list_transform(generate_series(1, 3000), lambda i: file_path || ' ' || i) AS lines FROM (SELECT DISTINCT file_path FROM file_analysis)),
-        c AS (SELECT dst, edge_id, array_to_string(lines[start_line:least(coalesce(end_line, start_line), 3000)], chr(10)) AS snippet FROM edg JOIN t ON t.path = split_part(src, ':', 3) WHERE start_line IS NOT NULL AND start_line <= 3000 AND split_part(dst, ':', 2) = 'macros')
+    f"""WITH {V.edge_sql()}, t AS (SELECT path, list_transform(generate_series(1, n), lambda i: path || ' ' || i) AS lines FROM ({_REACHED})),
+        c AS (SELECT dst, edge_id, array_to_string(lines[start_line:coalesce(end_line, start_line)], chr(10)) AS snippet FROM edg JOIN t ON t.path = split_part(src, ':', 3) WHERE start_line IS NOT NULL AND split_part(dst, ':', 2) = 'macros')
         SELECT dst, md5(array_to_string(list(snippet ORDER BY edge_id), '|')) AS digest, count(*) AS n FROM c GROUP BY dst""",
 )
 def _(spark, sf):
     from lodestrata.operators.context import in_edge_snippets
 
-    t = table(spark, sf, "file_analysis").select(F.col("file_path").alias("path")).distinct()
-    t = t.select("path", F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda i: F.concat(F.col("path"), F.lit(" "), i.cast("string"))).alias("lines"))
-    e = V.edges(spark, sf).where(F.split("dst", ":", 3)[1] == "macros")
-    return in_edge_snippets(e, t).select("dst", F.md5(F.array_join("snippets", "|")).alias("digest"), F.size("snippets").cast("bigint").alias("n"))
+    e = V.edges(spark, sf)
+    t = e.where("start_line is not null").groupBy(F.split("src", ":", 3)[2].alias("path")).agg(F.max(F.greatest("start_line", F.coalesce("end_line", "start_line"))).alias("n"))
+    t = t.select("path", F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat(F.col("path"), F.lit(" "), i.cast("string"))).alias("lines"))
+    return in_edge_snippets(e.where(F.split("dst", ":", 3)[1] == "macros"), t).select("dst", F.md5(F.array_join("snippets", "|")).alias("digest"), F.size("snippets").cast("bigint").alias("n"))
 
 
 def _reg(spark, sf):

@@ -11,6 +11,7 @@ from lodestrata.functions import text as T
 from lodestrata.operators import context as C
 from lodestrata.operators import memory as M
 from lodestrata.operators import parse as X
+from lodestrata.operators import patches as P
 from lodestrata.operators import references as R
 from lodestrata.plans import views as V
 from lodestrata.session import checkpoint_folder, table
@@ -142,6 +143,30 @@ def _(spark, sf):
     return _tables(spark, sf).select("region", X.to_json_table(F.col("rows"), "rows").alias("text"))
 
 
+@query("f28_recounted_patches", "SELECT p_partkey AS patch_id, '@@ -' || p_partkey || ',2 +' || p_partkey || ',' || CASE WHEN p_size % 3 = 0 THEN '3' ELSE '2' END || ' @@' || CASE WHEN p_size % 3 = 0 AND p_size % 4 = 3 THEN ' f' WHEN p_size % 3 <> 0 AND p_size % 4 = 2 THEN ' f' ELSE '' END || chr(10) || ' a' || chr(10) || '-b' || chr(10) || '+c' || CASE WHEN p_size % 3 = 0 THEN chr(10) || '+d' ELSE '' END AS text, p_size % 4 <> CASE WHEN p_size % 3 = 0 THEN 3 ELSE 2 END AS changed FROM part")
+def _(spark, sf):
+    k, n = F.col("p_partkey").cast("string"), F.col("p_size")
+    text = F.concat(F.lit("@@ -"), k, F.lit(",2 +"), k, F.lit(","), (n % 4).cast("string"), F.lit(" @@ f\n a\n-b\n+c"), F.when(n % 3 == 0, "\n+d").otherwise(""))
+    return P.recounted_patches(table(spark, sf, "part").select(F.col("p_partkey").alias("patch_id"), text.alias("text")))
+
+
+@query("f37_change_summaries", "WITH b AS (SELECT DISTINCT batch_id, files, symbols FROM symbol_batches), c AS (SELECT batch_id, files[1] AS file, list_transform(coalesce(symbols, []), lambda s: s.name) AS names, len(files) > 1 AS more FROM b) SELECT batch_id AS candidate, CASE WHEN file IS NULL THEN '无显著变更' ELSE file || CASE WHEN len(names) > 0 AND more THEN ' (符号: ' || array_to_string(names, ', ') || '; 调整导入)' WHEN len(names) > 0 THEN ' (符号: ' || array_to_string(names, ', ') || ')' WHEN more THEN ' (调整导入)' ELSE '' END END AS text FROM c")
+def _(spark, sf):
+    b = table(spark, sf, "symbol_batches").dropDuplicates(["batch_id"])
+    rows = b.select(F.col("batch_id").alias("candidate"), F.lit(0).alias("pos"), F.get("files", F.lit(0)).alias("file"), F.transform("symbols", lambda s: s["name"]).alias("symbols"), (F.size("files") > 1).alias("imports"))
+    return P.change_summaries(rows.select("candidate"), rows)
+
+
+@query("f7_resolved_paths", "WITH e AS (SELECT DISTINCT file_path AS path, project, regexp_extract(file_path, '([^/]+)$', 1) AS name FROM file_analysis WHERE project IS NOT NULL), w AS (SELECT DISTINCT project || '/' || name AS full, project, name FROM e), c AS (SELECT name, project, [project || '/lib/core/' || name, project || '/lib/core/src/' || name, project || '/src/core/' || name, project || '/src/core/src/' || name] AS tried FROM w), t AS (SELECT project, name, unnest(tried) AS path, generate_subscripts(tried, 1) AS pos FROM c), f AS (SELECT project, name, arg_min(path, pos) AS path FROM t WHERE path IN (SELECT path FROM e) GROUP BY ALL) SELECT w.project, w.name, coalesce(f.path, w.project || '/lib/core/' || w.name) AS path FROM w LEFT JOIN f ON f.project = w.project AND f.name = w.name")
+def _(spark, sf):
+    e = table(spark, sf, "file_analysis").where("project is not null").select(F.col("file_path").alias("path"), "project", F.regexp_extract("file_path", r"([^/]+)$", 1).alias("name")).distinct()
+    # A name is told apart by its project, which is taken off again.
+    w = e.select("project", "name").distinct().select(F.concat_ws("\t", "project", "name").alias("name"), F.array(F.concat("project", F.lit("/lib/core")), F.concat("project", F.lit("/src/core"))).alias("bases"))
+    tagged = e.select(F.regexp_replace(F.col("path"), r"[^/]+$", "").alias("dir"), F.concat_ws("\t", "project", "name").alias("n")).select(F.concat("dir", "n").alias("path"))
+    r = P.resolved_paths(w, tagged)
+    return r.select(F.split("name", "\t")[0].alias("project"), F.split("name", "\t")[1].alias("name"), F.regexp_replace("path", r"[^/\t]+\t", "").alias("path"))
+
+
 # Reconstruction --------------------------------------------------------------------------------------------
 
 
