@@ -157,57 +157,79 @@ def convert(value: str, kind: str):
     return data
 
 
+class Unfit(ValueError):
+    """Why a text isn't in the form of a template."""
+
+
 def parse_template(text: str, template: str) -> dict | None:
-    """The fields of a text in the form of a template, or null [X6, X7].
+    """The fields of a text in the form of a template, or null [X6]."""
+    return validate_text(text, template)[0]
+
 
-    Each occurrence of the first literal is tried in turn; a field ends at the next literal, a JSON field with its
-    balanced segment, the last field at the last occurrence of the closing literal.
+def validate_text(text: str, template: str) -> tuple[dict | None, str | None, str | None]:
+    """(fields, matched part, reason): the fields of a text in the form of a template, or why there are none [X7].
+
+    Each occurrence of the first literal is tried in turn, up to the last occurrence of the closing literal; a field ends at
+    the next literal, a JSON field with its balanced segment, the last field at the closing literal. Of several failures the last one is told.
     """
     parts = compile_template(template)
-    first = parts[0][0]
-    at = text.find(first)
+    first, last = parts[0][0], parts[-1][0]
+    at, matched, reason = text.find(first), None, f"no {first!r} ahead of a {last!r}"
     while at >= 0:
-        got = _match(text, at, parts)
-        if got is not None:
-            return got
+        end = text.rfind(last, at) if last else len(text)
+        if end >= 0:
+            matched = text[at : end + len(last)]
+            try:
+                return _match(text, at, parts), matched, None
+            except Unfit as e:
+                reason = str(e)
         at = text.find(first, at + 1) if first else -1
-    return None
+    return None, matched, reason
 
 
-def _match(text: str, at: int, parts: list[tuple[str, str, str]]) -> dict | None:
+def _match(text: str, at: int, parts: list[tuple[str, str, str]]) -> dict:
     out, pos = {}, at + len(parts[0][0])
     for k, (_, field, kind) in enumerate(parts[:-1]):
         after = parts[k + 1][0]
         if kind in ("dict", "json", "list[str]", "list[int]") and pos < len(text) and text[pos] in "{[":
             end = balanced(text, pos)
             if end < 0 or not text.startswith(after, end):
-                return None
+                raise Unfit(f"{field}: no balanced segment ahead of {after!r}")
         elif k == len(parts) - 2:
             end = text.rfind(after, pos) if after else len(text)
         else:
             end = text.find(after, pos) if after else len(text)
         if end < 0:
-            return None
+            raise Unfit(f"{field}: no {after!r} behind it")
         try:
             out[field] = convert(text[pos:end], kind)
-        except ValueError:
-            return None
+        except ValueError as e:
+            raise Unfit(f"{field}: {e}") from None
         pos = end + len(after)
     return out
 
 
 def parse_texts(df: DataFrame, id_col: str, text_col: str, template: str) -> DataFrame:
     """(id, success, data): each text against the template; data is JSON, null where it fails. Think blocks are left out first."""
+    return validated_texts(df, id_col, text_col, template).select(id_col, "success", "data")
+
+
+def validated_texts(df: DataFrame, id_col: str, text_col: str, template: str) -> DataFrame:
+    """(id, success, data, matched, raw, reason): each text against the template, with the part that was tried, the text and why it fails [X7].
+
+    data is JSON, null where it fails, reason null where it doesn't. Think blocks are left out first. A null text fails without a reason.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [parse_template(t, template) if t is not None else None for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "success": [g is not None for g in got], "data": [None if g is None else json.dumps(g, ensure_ascii=False) for g in got]})
+            got = [validate_text(t, template) if t is not None else (None, None, None) for t in b["text"]]
+            data = [None if g[0] is None else json.dumps(g[0], ensure_ascii=False) for g in got]
+            yield pd.DataFrame({"id": b["id"], "success": [g[0] is not None for g in got], "data": data, "matched": [g[1] for g in got], "raw": b["text"], "reason": [g[2] for g in got]})
 
     src = df.select(F.col(id_col).alias("id"), strip_think(F.col(text_col)).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     ship(src.sparkSession)
-    return src.mapInPandas(run, f"id {kind}, success boolean, data string").withColumnRenamed("id", id_col)
+    return src.mapInPandas(run, f"id {kind}, success boolean, data string, matched string, raw string, reason string").withColumnRenamed("id", id_col)
 
 
 def function_span(code: str, name: str) -> tuple[int, int] | None:

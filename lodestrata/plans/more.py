@@ -143,6 +143,19 @@ def _(spark, sf):
     return _tables(spark, sf).select("region", X.to_json_table(F.col("rows"), "rows").alias("text"))
 
 
+@query(
+    "x7_validated",
+    """WITH t AS (SELECT event_id, event_id % 7 AS k, CASE WHEN event_id % 7 = 0 THEN 'user=none;' || event_type WHEN event_id % 7 = 1 THEN 'user=x; user=none; kind=' || event_type || '.' ELSE 'note: user=' || user_id || '; kind=' || event_type || '.' END AS raw FROM events)
+       SELECT event_id, k > 1 AS success, CASE WHEN k = 1 THEN substring(raw, 9) WHEN k > 1 THEN substring(raw, 7) END AS matched, raw, k <= 1 AS failed FROM t""",
+)
+def _(spark, sf):
+    i = F.col("event_id") % 7
+    text = F.when(i == 0, F.concat(F.lit("user=none;"), F.col("event_type"))).when(i == 1, F.concat(F.lit("user=x; user=none; kind="), F.col("event_type"), F.lit(".")))
+    text = text.otherwise(F.concat(F.lit("note: user="), F.col("user_id").cast("string"), F.lit("; kind="), F.col("event_type"), F.lit(".")))
+    v = X.validated_texts(table(spark, sf, "events").select("event_id", text.alias("text")), "event_id", "text", "user={user:int}; kind={kind}.")
+    return v.select("event_id", "success", "matched", "raw", F.col("reason").isNotNull().alias("failed"))
+
+
 @query("f28_recounted_patches", "SELECT p_partkey AS patch_id, '@@ -' || p_partkey || ',2 +' || p_partkey || ',' || CASE WHEN p_size % 3 = 0 THEN '3' ELSE '2' END || ' @@' || CASE WHEN p_size % 3 = 0 AND p_size % 4 = 3 THEN ' f' WHEN p_size % 3 <> 0 AND p_size % 4 = 2 THEN ' f' ELSE '' END || chr(10) || ' a' || chr(10) || '-b' || chr(10) || '+c' || CASE WHEN p_size % 3 = 0 THEN chr(10) || '+d' ELSE '' END AS text, p_size % 4 <> CASE WHEN p_size % 3 = 0 THEN 3 ELSE 2 END AS changed FROM part")
 def _(spark, sf):
     k, n = F.col("p_partkey").cast("string"), F.col("p_size")

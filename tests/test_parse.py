@@ -97,3 +97,13 @@ def test_tools(spark, rows):
             tools.call(*bad)
     df = spark.createDataFrame([(1, '{"tool_call": {"name": "add", "args": {"a": 1}}}'), (2, "hi"), (3, '{"name": "zzz", "args": {}}')], "id int, t string")
     assert rows(tools.interpret(df, "id", "t")) == [(1, "add", "3"), (2, None, None), (3, "zzz", "error: unknown tool 'zzz'")]
+
+
+def test_validated(spark):
+    assert X.validate_text("a n=1; n=x; n=2.", "n={n:int}.") == ({"n": 2}, "n=2.", None)
+    data, matched, reason = X.validate_text("n=1; n=x.", "n={n:int}.")
+    assert data is None and matched == "n=x." and reason.startswith("n: ")
+    assert X.validate_text("nothing", "n={n:int}.")[:2] == (None, None)
+    df = spark.createDataFrame([(1, "n=3."), (2, None), (3, "<think>n=9.</think>n=y.")], "id int, t string")
+    got = {x.id: x for x in X.validated_texts(df, "id", "t", "n={n:int}.").collect()}
+    assert (got[1].success, got[1].data, got[1].matched) == (True, '{"n": 3}', "n=3.") and not got[2].success and (got[3].raw, got[3].matched) == ("n=y.", "n=y.")
