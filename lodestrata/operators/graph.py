@@ -7,10 +7,10 @@ that are small by count are worked out by one task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.model import DEP_TYPES
@@ -19,6 +19,8 @@ from lodestrata.session import checkpointed, ship
 MOST_ROUNDS = 200
 #: A graph of up to this many edges, which are counted, is solved by one task in linear time; larger ones are made smaller by rounds over the cluster first.
 SMALL = 250_000
+#: Nodes up to this number, which are counted, are sent to every task rather than moving all edges.
+MOST_SENT = 250_000
 
 
 def file_edges(edges: DataFrame) -> DataFrame:
@@ -95,21 +97,44 @@ def _all_hops(first: DataFrame, steps: DataFrame, depth: int | None, most_rounds
     return seen
 
 
-def closure_with_limit(edges: DataFrame, starts: DataFrame, kinds: DataFrame, most: int = 64) -> DataFrame:
+def _leaving(steps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The steps (src, dst) from the nodes. Up to MOST_SENT nodes, which are counted, go to the steps, which then aren't shuffled; more are joined."""
+    wanted = nodes.select(F.col("node").alias("src")).distinct()
+    return steps.join(F.broadcast(wanted) if wanted.limit(MOST_SENT + 1).count() <= MOST_SENT else wanted, "src", "left_semi")
+
+
+def closure_with_limit(edges: DataFrame, starts: DataFrame, kinds: DataFrame | Callable[[Column], Column], most: int = 64) -> DataFrame:
     """(start, node, depth): functions one step away and everything that is no function at any distance, the first ``most`` by (depth, node) [G18].
 
-    kinds: (node, is_function). The walk passes only through nodes that are no functions.
+    kinds: (node, is_function), or what tells of a node's column whether it is a function. The walk passes only through nodes that are no
+    functions. It goes on, level by level, from starts with less than ``most`` nodes: what is deeper comes behind those of a start that has
+    them. Each level brings such a start a node at least, so the walk ends. Edges may repeat; if kinds are told by the column, only those that
+    leave a level are shuffled.
     """
-    other = kinds.where("not is_function").select("node")
-    near = k_hop(edges, starts, 1).where("depth = 1").join(kinds.where("is_function").select("node"), "node", "left_semi")
-    # From the start one step, then on through nodes that are no functions.
-    first = k_hop(edges, starts, 1).where("depth = 1").join(other, "node", "left_semi").select("start", "node")
-    inner = edges.join(other.select(F.col("node").alias("src")), "src", "left_semi").join(other.select(F.col("node").alias("dst")), "dst", "left_semi")
-    far = k_hop(inner, first.select(F.col("node").alias("start")).distinct(), None).withColumnRenamed("start", "via")
-    deep = first.withColumnRenamed("node", "via").join(far, "via").groupBy("start", "node").agg((F.min("depth") + 1).alias("depth"))
-    both = near.select("start", "node", "depth").unionByName(deep).where("node <> start").groupBy("start", "node").agg(F.min("depth").alias("depth"))
+
+    def told(df: DataFrame, node: str, function: bool) -> DataFrame:
+        if callable(kinds):
+            return df.where(kinds(F.col(node)) if function else ~kinds(F.col(node)))
+        return df.join(kinds.where("is_function" if function else "not is_function").select(F.col("node").alias(node)), node, "left_semi")
+
+    def stepped(nodes: DataFrame, steps: DataFrame) -> DataFrame:
+        met = _leaving(steps.select("src", "dst"), nodes).join(nodes.select("start", F.col("node").alias("src")), "src")
+        return met.select("start", F.col("dst").alias("node")).where("node <> start").distinct()
+
+    first = checkpointed(stepped(starts.select("start", F.col("start").alias("node")).distinct(), edges))
+    frontier = checkpointed(told(first, "node", False).withColumn("depth", F.lit(1)))
+    seen = checkpointed(told(first, "node", True).withColumn("depth", F.lit(1)).unionByName(frontier))
+    inner = None
+    for level in range(2, most + 1):
+        done = seen.groupBy("start").agg(F.count("*").alias("n")).where(F.col("n") >= most)
+        active = checkpointed(frontier.join(done, "start", "left_anti"))
+        if active.isEmpty():
+            break
+        inner = checkpointed(told(told(edges.select("src", "dst"), "src", False), "dst", False)) if inner is None else inner
+        frontier = checkpointed(stepped(active, inner).join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(level)))
+        seen = checkpointed(seen.unionByName(frontier)) if level % 4 == 0 else seen.unionByName(frontier)
     w = Window.partitionBy("start").orderBy("depth", "node")
-    return both.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).drop("_rn")
+    return seen.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).drop("_rn").select("start", "node", "depth")
 
 
 def components(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:

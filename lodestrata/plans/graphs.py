@@ -251,9 +251,7 @@ def _(spark, sf):
         SELECT start, node, depth FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY depth, node) AS rn FROM b) WHERE rn <= 64""",
 )
 def _(spark, sf):
-    e = V.edges(spark, sf).select("src", "dst").distinct()
-    kinds = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("is_function", F.split("node", ":", 3)[1] == "functions")
-    return G.closure_with_limit(e, _starts(spark, sf), kinds, 64)
+    return G.closure_with_limit(V.steps(spark, sf), _starts(spark, sf), lambda node: F.split(node, ":", 3)[1] == "functions", 64)
 
 
 @query("g_weak_components", f"WITH RECURSIVE {V.edge_sql()}, {_FILES}, n AS (SELECT src AS node FROM fe UNION SELECT dst FROM fe), r AS (SELECT node AS a, node AS b FROM n UNION SELECT r.a, s.y FROM r JOIN (SELECT src AS x, dst AS y FROM fe UNION SELECT dst, src FROM fe) s ON s.x = r.b) SELECT a AS node, min(b) AS component FROM r GROUP BY a")

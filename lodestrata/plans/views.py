@@ -28,6 +28,12 @@ def edges(spark: SparkSession, sf: str, *extra: str) -> DataFrame:
     return e.withColumns({"src_name": F.substring_index("src", ":", 1), "dst_name": F.substring_index("dst", ":", 1)})
 
 
+def steps(spark: SparkSession, sf: str) -> DataFrame:
+    """(src, dst) of each edge with two keys, repeats included, so nothing is shuffled."""
+    e = table(spark, sf, "edges").select("source", "target").where(~is_blank(F.col("source")) & ~is_blank(F.col("target")))
+    return e.select(normal_key(F.col("source")).alias("src"), normal_key(F.col("target")).alias("dst"))
+
+
 def files(spark: SparkSession, sf: str) -> DataFrame:
     """Each analysed file once."""
     return table(spark, sf, "file_analysis").dropDuplicates(["file_path", "project", "analyzed_at"])

@@ -114,6 +114,17 @@ def test_closure(spark, rows):
     assert len(rows(G.closure_with_limit(frame(spark, edges), st, kinds, 2))) == 2
 
 
+def test_closure_by_column_of_long_chains(spark, rows):
+    """Repeated edges and a chain beyond any number of rounds: a start with enough nodes goes no further, one with few is followed to the end."""
+    edges = [(f"m{i}", f"m{i + 1}") for i in range(260)] * 2 + [("s", x) for x in ("f0", "m0", "s", "m1")] + [("t", "m258"), ("m260", "t"), ("t", "f1")]
+    st = spark.createDataFrame([("s",), ("t",), ("u",)], "start string")
+    want = [("s", "f0", 1), ("s", "m0", 1), ("s", "m1", 1)] + [("s", f"m{i}", i) for i in range(2, 6)]
+    few = [("t", "f1", 1), ("t", "m258", 1), ("t", "m259", 2), ("t", "m260", 3)]
+    kinds = spark.createDataFrame([(n, n.startswith("f")) for n in {x for e in edges for x in e}], "node string, is_function boolean")
+    for told in (lambda node: node.startswith("f"), kinds):
+        assert rows(G.closure_with_limit(frame(spark, edges), st, told, 7)) == sorted(want + few)
+
+
 def test_uses(spark, rows):
     s = spark.createDataFrame([("k", 10, "int a = FOO(b);\nFOO + bar_9")], "key string, start_line int, text string")
     n = spark.createDataFrame([("FOO",), ("bar_9",), ("zzz",)], "name string")
