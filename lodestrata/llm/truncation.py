@@ -17,8 +17,10 @@ often, over the whole corpus, a line closes after these words and how often it g
 
 Scale: one pass gives a narrow row per document (keys of bands, closing words), and counts of words and forms summed up within each
 partition; both are kept once in the shared checkpoint folder. Exact copies are one class. Of each bucket and octave of length one longest
-member is tried first: a map-side aggregate, so a bucket that holds a third of all texts costs one row per task. Texts that this
-leaves open are then held against every other longer text that holds their last shingle and shares a bucket.
+member is tried first: a map-side aggregate, so a bucket that holds a third of all texts costs one row per task. Bands are met by chance,
+so texts that this doesn't show to be cut are then held against every other longer text that can have 0.8 of their shingles: of d shingles
+d / 5 at most may be missing, so one that has enough of all has some of any d / 5 + 1. Each text asks with its rarest ones, by
+a table of counts of bounded size, which decides about the cost but not about what is found.
 """
 
 from __future__ import annotations
@@ -45,6 +47,10 @@ HEADS = [1, 2, *(4**k for k in range(1, 16))]
 SALTS = 32
 #: Ids up to this number, some 8 MB, are sent to every task rather than moving all texts.
 MOST_SENT = 1_000_000
+#: Shingles asked for up to this number are told to every task as a table of bits; with more, all shingles are joined.
+MOST_KEYS, KEY_BITS = 16_000_000, 27
+#: A table of counts of shingles: slots, and rows that it is passed on in. How many of the rarest shingles must be shared, if a text has as many.
+SLOT_BITS, SLOT_ROWS, SHARED = 20, 64, 6
 CLOSE_SHARE = 0.5
 #: A share is taken as settled where it is this many standard errors away from one half.
 SETTLED = 1.5
@@ -268,13 +274,17 @@ def head_keys(codes: np.ndarray, starts: np.ndarray) -> list[list[np.ndarray]]:
     return out
 
 
+def _slot(codes: np.ndarray) -> np.ndarray:
+    return (codes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 _PROFILE = pa.schema(
     [
         ("doc_id", pa.int64()), ("source", pa.string()), ("copy_of", pa.int64()), ("n_chars", pa.int32()), ("state", pa.string()), ("form", pa.string()), ("kind", pa.string()),
-        ("prev2", pa.string()), ("prev", pa.string()), ("last", pa.string()), ("answers", pa.list_(pa.int64())), ("asks", pa.list_(pa.int64())), ("tail", pa.int64()), ("word", pa.int64()), ("closed", pa.int64()), ("went_on", pa.int64()),
+        ("prev2", pa.string()), ("prev", pa.string()), ("last", pa.string()), ("answers", pa.list_(pa.int64())), ("asks", pa.list_(pa.int64())), ("word", pa.int64()), ("closed", pa.int64()), ("went_on", pa.int64()),
     ]
 )
-_PROFILE_DDL = "doc_id bigint, source string, copy_of bigint, n_chars int, state string, form string, kind string, prev2 string, prev string, last string, answers array<bigint>, asks array<bigint>, tail bigint, word bigint, closed bigint, went_on bigint"
+_PROFILE_DDL = "doc_id bigint, source string, copy_of bigint, n_chars int, state string, form string, kind string, prev2 string, prev string, last string, answers array<bigint>, asks array<bigint>, word bigint, closed bigint, went_on bigint"
 _CHUNK = 20_000
 
 
@@ -309,6 +319,7 @@ class _Votes:
         self.on: Counter = Counter()
         self.forms: Counter = Counter()
         self.drawn: Counter = Counter()
+        self.slots = np.zeros(1 << SLOT_BITS, dtype=np.uint32)
 
     def count(self, codes: list[np.ndarray]) -> None:
         """All words but the last of each text, by their codes."""
@@ -352,6 +363,9 @@ class _Votes:
             part = keys[k : k + _CHUNK]
             context = {name: [key[i] for key in part] for i, name in enumerate(_CONTEXT)}
             yield _batch(state=["phrase"] * len(part), closed=[self.shut[key] for key in part], went_on=[self.on[key] for key in part], **context)
+        slots = np.minimum(self.slots, 0xFFFF).astype(np.uint16).view(np.int64).reshape(SLOT_ROWS, -1)
+        held = np.flatnonzero(slots.any(axis=1))
+        yield _batch(state=["slots"] * len(held), word=held.tolist(), answers=list(slots[held]))
         forms = list(self.forms.keys() | self.drawn.keys())
         yield _batch(state=["form"] * len(forms), kind=[f[0] for f in forms], form=[f[1] for f in forms], closed=[self.forms[f] for f in forms], went_on=[self.drawn[f] for f in forms])
         self.__init__()
@@ -364,10 +378,10 @@ def bare_of(text: str, state: str) -> str:
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
-    """Rows of four kinds, told apart by doc_id and state, from one pass over the texts.
+    """Rows of five kinds, told apart by doc_id and state, from one pass over the texts.
 
     A row per non-blank document; with state 'word', how often a word (its code in ``word``) stands in a partition's texts but for
-    their last words (in ``went_on``), and at ends of lines; with state 'phrase', how often a line closes after a context or goes on; with state
+    their last words (in ``went_on``), and at ends of lines; with state 'slots', a part (numbered in ``word``) of the counts of shingles by slot; with state 'phrase', how often a line closes after a context or goes on; with state
     'form', how many texts end in a form (in ``closed``) and how many when cut at a drawn place.
     """
 
@@ -395,9 +409,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
             coded = codes_of_words(texts)
             votes.count(coded)
             codes, starts = shingles_of(coded)
-            ends = np.append(starts, len(codes))[1:]
-            # The last shingle of whole words: the last word may be half of one.
-            tails = [int(codes[e - 2].view(np.int64)) if len(ws) > SHINGLE else None for e, ws in zip(ends, texts)]
+            np.add.at(votes.slots, _slot(codes), 1)
             answers, asks = [], []
             for keys, ws, state in zip(head_keys(codes, starts), texts, out["state"]):
                 answers.append(np.concatenate(keys).tolist())
@@ -407,7 +419,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
                 asking = state != "whole" and own
                 asks.append([*keys[own - 1].tolist(), *keys[-1].tolist()] if asking else None)
             words = [_signed(_CODES[w]) for w in out["last"]]
-            yield _batch(**out, answers=answers, asks=asks, tail=tails, word=words)
+            yield _batch(**out, answers=answers, asks=asks, word=words)
             if len(votes.words) + len(votes.on) > 400_000:
                 yield from votes.batches()
         yield from votes.batches()
@@ -595,40 +607,84 @@ def _aligned(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return shown.groupBy("short_id").agg(F.max(F.col("shown") == "cut").alias("cut"), F.max(F.col("shown") == "whole").alias("whole"))
 
 
-def _shown(rows: DataFrame, docs: DataFrame) -> DataFrame:
+def rarest(codes: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, int]:
+    """The rarest of the distinct shingles of a text, and how many of them a text has at least that has SIMILARITY of all."""
+    own = np.unique(codes)
+    missing = next(m for m in itertools.count(int((1 - SIMILARITY) * len(own)) + 1, -1) if len(own) - m >= SIMILARITY * len(own))
+    most = min(len(own), missing + SHARED)
+    return own[np.argsort(slots[_slot(own)], kind="stable")[:most]], most - missing
+
+
+def _slots(profile: DataFrame) -> np.ndarray:
+    """The counts of shingles by slot, of all partitions, up to 65,535 each: 2 MB, whatever the corpus."""
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(1, dtype=np.uint32)
+        for x in part["answers"]:
+            total = np.minimum(total + np.asarray(x, dtype=np.int64).view(np.uint16).astype(np.uint32), 0xFFFF)
+        return pd.DataFrame({"word": part["word"].iloc[:1], "answers": [total.astype(np.uint16).view(np.int64)]})
+
+    table = np.zeros((SLOT_ROWS, (1 << SLOT_BITS) // SLOT_ROWS), dtype=np.uint16)
+    for r in profile.where("doc_id is null and state = 'slots'").select("word", "answers").groupBy("word").applyInPandas(add, "word bigint, answers array<bigint>").collect():
+        table[r[0]] = np.array(r[1], dtype=np.int64).view(np.uint16)
+    return table.ravel()
+
+
+def _holding(left: DataFrame, rows: DataFrame, docs: DataFrame, slots: np.ndarray) -> DataFrame:
+    """(short_id, long_id): for texts (short_id, size) every longer one that has enough of their rarest shingles to have SIMILARITY of all."""
+    sc = docs.sparkSession.sparkContext
+    counts = sc.broadcast(slots)
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [rarest(_Short(t).codes, counts.value) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[1] for f in found], pa.int32()), pa.array([f[0].view(np.int64) for f in found], pa.list_(pa.int64()))], names=["short_id", "least", "keys"])
+
+    asked = checkpointed(_texts_of(docs, left.select(F.col("short_id").alias("doc_id"))).mapInArrow(keys_of, "short_id bigint, least int, keys array<bigint>"))
+    bits = None
+    if (asked.agg(F.sum(F.size("keys"))).first()[0] or 0) <= MOST_KEYS:
+        marked = np.zeros(1 << KEY_BITS, dtype=bool)
+        marked[(asked.select(F.explode("keys").alias("key")).toArrow().column(0).to_numpy().view(np.uint64) >> np.uint64(64 - KEY_BITS)).astype(np.int64)] = True
+        bits = sc.broadcast(np.packbits(marked))
+
+    def held_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes, starts = shingle_codes([words_of(t) for t in b.column(1).to_pylist()])
+            each = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(codes))))
+            if bits is not None:
+                at = (codes >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+                hit = np.flatnonzero(bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+                codes, each = codes[hit], each[hit]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(each)), pa.array(codes.view(np.int64))], names=["long_id", "key"])
+
+    # A key that a longer text has twice counts twice; pairs are verified where they are aligned.
+    held = docs.select("doc_id", "text").mapInArrow(held_by, "long_id bigint, key bigint")
+    met = held.join(asked.select("short_id", "least", F.explode("keys").alias("key")), "key").where("short_id <> long_id")
+    pairs = checkpointed(met.groupBy("short_id", "long_id").agg(F.count("*").alias("n"), F.first("least").alias("least")).where("n >= least").select("short_id", "long_id"))
+    lengths = rows.select(F.col("doc_id").alias("long_id"), "n_chars").join(_sent(pairs.select("long_id").distinct()), "long_id", "left_semi").groupBy("long_id").agg(F.max("n_chars").alias("n_chars"))
+    return pairs.join(lengths, "long_id").join(left, "short_id").where("n_chars > size").select("short_id", "long_id")
+
+
+def _shown(rows: DataFrame, docs: DataFrame, slots: np.ndarray) -> DataFrame:
     """(copy_of, cut, whole) of the texts without a whole ending for which a longer near-copy shows what follows."""
-    asking = checkpointed(rows.where("asks is not null").dropDuplicates(["copy_of"]).select("copy_of", F.col("doc_id").alias("short_id"), F.col("n_chars").alias("size"), "asks", "tail"))
+    asking = checkpointed(rows.where("asks is not null").dropDuplicates(["copy_of"]).select("copy_of", F.col("doc_id").alias("short_id"), F.col("n_chars").alias("size"), "asks"))
     keyed = asking.select("short_id", "size", F.explode("asks").alias("key"))
-    members = rows.select("doc_id", "copy_of", "n_chars", F.explode("answers").alias("key"))
+    members = rows.select("doc_id", "n_chars", F.explode("answers").alias("key"))
 
     # First the longest member of each octave of length, which a map-side aggregate finds.
     octave = F.length(F.bin("n_chars"))
     firsts = members.groupBy("key", octave.alias("octave")).agg(
-        F.max("n_chars").alias("most"), F.max_by("doc_id", "n_chars").alias("long_id"), (F.min("copy_of") == F.max("copy_of")).alias("alone")
+        F.max("n_chars").alias("most"), F.max_by("doc_id", "n_chars").alias("long_id")
     )
     met = keyed.join(firsts, "key").where("most > size")
-    first = checkpointed(met.groupBy("short_id", "long_id").agg(F.min("alone").alias("alone")))
-    shown = checkpointed(_aligned(first.select("short_id", "long_id"), docs))
-
-    # Then, for those still open, every other longer text of their buckets that holds their last shingle.
-    left = checkpointed(first.where("not alone").select("short_id").distinct().join(shown, "short_id", "left_anti").join(asking, "short_id").select("short_id", "size", "asks", "tail"))
-    if not left.isEmpty():
-        buckets = left.select(F.explode("asks").alias("key")).distinct()
-        held_keys = checkpointed(members.join(buckets, "key", "left_semi").select(F.col("doc_id").alias("long_id"), "n_chars", "key"))
-
-        def codes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                texts = [words_of(t) for t in b.column(1).to_pylist()]
-                codes, starts = shingle_codes(texts)
-                sizes = np.diff(np.append(starts, len(codes)))
-                each = np.repeat(np.arange(len(texts)), sizes)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(each)), pa.array(codes.view(np.int64))], names=["long_id", "tail"])
-
-        held = _texts_of(docs, held_keys.select(F.col("long_id").alias("doc_id")).distinct()).mapInArrow(codes_of, "long_id bigint, tail bigint").join(left.select("tail").distinct(), "tail", "left_semi").distinct()
-        asked = left.select("short_id", "size", "tail", F.explode("asks").alias("key"))
-        more = held.join(held_keys, "long_id").join(asked, ["key", "tail"]).where("n_chars > size").select("short_id", "long_id").distinct()
-        more = checkpointed(more.join(first, ["short_id", "long_id"], "left_anti"))
-        shown = shown.unionByName(_aligned(more, docs))
+    first = checkpointed(met.select("short_id", "long_id").distinct())
+    shown = checkpointed(_aligned(first, docs))
+
+    # Then, for those that none of these shows to be cut, every other longer text that can be a near-copy.
+    left = asking.join(shown.where("cut").select("short_id"), "short_id", "left_anti").select("short_id", "size")
+    more = checkpointed(_holding(left, rows, docs, slots).join(first, ["short_id", "long_id"], "left_anti"))
+    if not more.isEmpty():
+        shown = shown.unionByName(_aligned(more, docs)).groupBy("short_id").agg(F.max("cut").alias("cut"), F.max("whole").alias("whole"))
     return asking.select("copy_of", "short_id").join(shown, "short_id").select("copy_of", "cut", "whole")
 
 
@@ -643,7 +699,7 @@ def truncated_documents(documents: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), "text").where("doc_id is not null and text is not null and text <> ''")
     profile = checkpointed(_profiles(docs))
     rows = profile.where("doc_id is not null").drop("closed", "went_on")
-    shown = _shown(rows, docs)
+    shown = _shown(rows, docs, _slots(profile))
 
     # Terminality: counts of the whole corpus. There are some twenty forms, whatever the corpus.
     totals = profile.where("doc_id is null").groupBy("state", F.when(F.col("state") == "form", F.col("kind")).alias("looks"), "form").agg(F.sum("closed"), F.sum("went_on")).collect()

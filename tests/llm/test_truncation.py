@@ -184,3 +184,37 @@ def test_one_copy_for_many(spark):
     got = {x.doc_id: x.by for x in T.truncated_documents(spark.createDataFrame(docs, DOC)).collect()}
     assert got[5002] == got[5003] == "copy"
     assert all(got[6000 + i] == "copy" for i in range(120))
+
+
+@pytest.mark.parametrize("d", [1, 2, 4, 5, 6, 10, 11, 99, 100, 333])
+def test_rarest(d):
+    """However the texts differ: what has 0.8 of all shingles has as many of the rarest as is asked for, and no more need be."""
+    codes = np.arange(d, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    slots = np.zeros(1 << T.SLOT_BITS, dtype=np.uint16)
+    slots[T._slot(codes[: d // 2])] = 9
+    keys, least = T.rarest(np.concatenate([codes, codes[:3]]), slots)
+    missing = max(m for m in range(d) if d - m >= T.SIMILARITY * d)
+    assert len(set(keys.tolist())) == len(keys) == missing + least and least >= 1
+    assert set(codes[d // 2 :].tolist()) <= set(keys.tolist()) or set(keys.tolist()) <= set(codes[d // 2 :].tolist())
+
+
+def test_every_pair_at_the_threshold(spark, monkeypatch):
+    """Copies changed all over, the last words included, so that few bands and not the last shingle are shared: the texts shown by a copy are those that all pairs show."""
+    docs, _ = corpus()
+    r = random.Random(7)
+    near = []
+    for i in range(80):
+        words = [f"n{r.randrange(3000)}" for _ in range(130)]
+        copy = list(words)
+        for k in (2, *r.sample(range(8, 90, 6), 2), 97):
+            copy[k] = f"o{i}x{k}"
+        near += [(2000 + i, "x", " ".join(copy) + ".", None), (3000 + i, "x", " ".join(words[:100]), None), (4000 + i, "x", " ".join(words[:60]) + "\n" + " ".join(words[60:100]) + "\n" + "And so on.", None)]
+    every = docs + near
+    texts = {i: t for i, _, t, _ in every}
+    sizes = {i: len(T.bare_of(t, T.ending(t)[0])) for i, t in texts.items()}
+    want = {i for i, t in texts.items() if T.ending(t)[0] != "whole" and any(sizes[j] > sizes[i] and T.alignment(t, x) == "cut" for j, x in texts.items())}
+    assert {3000 + i for i in range(80)} <= want
+    for most in (T.MOST_KEYS, 0):
+        monkeypatch.setattr(T, "MOST_KEYS", most)
+        got = {x.doc_id for x in T.truncated_documents(spark.createDataFrame(every, DOC)).collect() if x.by == "copy"}
+        assert got == want
