@@ -26,6 +26,7 @@ a table of counts of bounded size, which decides about the cost but not about wh
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -47,8 +48,8 @@ HEADS = [1, 2, *(4**k for k in range(1, 16))]
 SALTS = 32
 #: Ids up to this number, some 8 MB, are sent to every task rather than moving all texts.
 MOST_SENT = 1_000_000
-#: Shingles asked for up to this number are told to every task as a table of bits; with more, all shingles are joined.
-MOST_KEYS, KEY_BITS = 16_000_000, 27
+#: Shingles asked for up to this number are told to every task as a table of bits, 16 or more for each; with more, all shingles are joined.
+MOST_KEYS = 16_000_000
 #: A table of counts of shingles: slots, and rows that it is passed on in. How many of the rarest shingles must be shared, if a text has as many.
 SLOT_BITS, SLOT_ROWS, SHARED = 20, 64, 6
 CLOSE_SHARE = 0.5
@@ -409,7 +410,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
             coded = codes_of_words(texts)
             votes.count(coded)
             codes, starts = shingles_of(coded)
-            np.add.at(votes.slots, _slot(codes), 1)
+            votes.slots += np.bincount(_slot(codes), minlength=len(votes.slots)).astype(np.uint32)
             answers, asks = [], []
             for keys, ws, state in zip(head_keys(codes, starts), texts, out["state"]):
                 answers.append(np.concatenate(keys).tolist())
@@ -519,11 +520,15 @@ class _Long:
         return next(itertools.islice(found, word, None)).end()
 
 
+def unmarked(text: str) -> str:
+    return _MARK.sub("", text.rstrip()).rstrip()
+
+
 class _Short:
     """A shorter text without its mark, its words and the shingles of its whole words."""
 
     def __init__(self, text: str) -> None:
-        self.bare = _MARK.sub("", text.rstrip()).rstrip()
+        self.bare = unmarked(text)
         self.words = words_of(self.bare)
         self.codes = shingle_codes([self.words[:-1]])[0] if len(self.words) > SHINGLE else np.zeros(0, dtype=np.uint64)
         self.distinct = len(np.unique(self.codes))
@@ -610,7 +615,7 @@ def _aligned(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def rarest(codes: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, int]:
     """The rarest of the distinct shingles of a text, and how many of them a text has at least that has SIMILARITY of all."""
     own = np.unique(codes)
-    missing = next(m for m in itertools.count(int((1 - SIMILARITY) * len(own)) + 1, -1) if len(own) - m >= SIMILARITY * len(own))
+    missing = len(own) - math.ceil(SIMILARITY * len(own))
     most = min(len(own), missing + SHARED)
     return own[np.argsort(slots[_slot(own)], kind="stable")[:most]], most - missing
 
@@ -637,14 +642,19 @@ def _holding(left: DataFrame, rows: DataFrame, docs: DataFrame, slots: np.ndarra
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [rarest(_Short(t).codes, counts.value) for t in b.column(1).to_pylist()]
+            # As in _Short; asking texts have more than SHINGLE words, but for a mark, and then no pair is aligned.
+            codes, starts = shingle_codes([words_of(unmarked(t))[:-1] for t in b.column(1).to_pylist()])
+            found = [rarest(own, counts.value) for own in np.split(codes, starts[1:])] if len(starts) else []
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[1] for f in found], pa.int32()), pa.array([f[0].view(np.int64) for f in found], pa.list_(pa.int64()))], names=["short_id", "least", "keys"])
 
     asked = checkpointed(_texts_of(docs, left.select(F.col("short_id").alias("doc_id"))).mapInArrow(keys_of, "short_id bigint, least int, keys array<bigint>"))
-    bits = None
-    if (asked.agg(F.sum(F.size("keys"))).first()[0] or 0) <= MOST_KEYS:
-        marked = np.zeros(1 << KEY_BITS, dtype=bool)
-        marked[(asked.select(F.explode("keys").alias("key")).toArrow().column(0).to_numpy().view(np.uint64) >> np.uint64(64 - KEY_BITS)).astype(np.int64)] = True
+    counts.destroy()
+    n, bits, shift = asked.agg(F.sum(F.size("keys"))).first()[0] or 0, None, np.uint64(0)
+    if n <= MOST_KEYS:
+        width = max(16, (16 * n).bit_length())
+        shift, marked = np.uint64(64 - width), np.zeros(1 << width, dtype=bool)
+        for part in asked.select(F.explode("keys").alias("key")).toArrow().column(0).chunks:
+            marked[(part.to_numpy().view(np.uint64) >> shift).astype(np.int64)] = True
         bits = sc.broadcast(np.packbits(marked))
 
     def held_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -652,7 +662,7 @@ def _holding(left: DataFrame, rows: DataFrame, docs: DataFrame, slots: np.ndarra
             codes, starts = shingle_codes([words_of(t) for t in b.column(1).to_pylist()])
             each = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(codes))))
             if bits is not None:
-                at = (codes >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+                at = (codes >> shift).astype(np.int64)
                 hit = np.flatnonzero(bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
                 codes, each = codes[hit], each[hit]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(each)), pa.array(codes.view(np.int64))], names=["long_id", "key"])
@@ -661,6 +671,8 @@ def _holding(left: DataFrame, rows: DataFrame, docs: DataFrame, slots: np.ndarra
     held = docs.select("doc_id", "text").mapInArrow(held_by, "long_id bigint, key bigint")
     met = held.join(asked.select("short_id", "least", F.explode("keys").alias("key")), "key").where("short_id <> long_id")
     pairs = checkpointed(met.groupBy("short_id", "long_id").agg(F.count("*").alias("n"), F.first("least").alias("least")).where("n >= least").select("short_id", "long_id"))
+    if bits is not None:
+        bits.destroy()
     lengths = rows.select(F.col("doc_id").alias("long_id"), "n_chars").join(_sent(pairs.select("long_id").distinct()), "long_id", "left_semi").groupBy("long_id").agg(F.max("n_chars").alias("n_chars"))
     return pairs.join(lengths, "long_id").join(left, "short_id").where("n_chars > size").select("short_id", "long_id")
 
