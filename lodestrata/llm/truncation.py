@@ -20,23 +20,29 @@ partition; both are kept once in the shared checkpoint folder. Exact copies are
 member is tried first: a map-side aggregate, so a bucket that holds a third of all texts costs one row per task. Bands are met by chance,
 so texts that this doesn't show to be cut are then held against every other longer text that can have 0.8 of their shingles: of d shingles
 d / 5 at most may be missing, so one that has enough of all has some of any d / 5 + 1. Each text asks with its rarest ones, by
-a table of counts of bounded size, which decides about the cost but not about what is found.
+a table of counts of bounded size, which decides about the cost but not about what is found. Keys of bands, shingles and contexts are only shuffled where something
+asks for them, and those of texts where something shorter does: what is asked for is counted, and up to a bound told to every task as a table.
+
+Words are taken apart in arrays of characters, many texts at once; lines that come again are counted once and weighed.
 """
 
 from __future__ import annotations
 
-import itertools
+import functools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from lodestrata.operators.skew import heavy_keys
 from lodestrata.session import checkpointed, ship
@@ -48,7 +54,7 @@ HEADS = [1, 2, *(4**k for k in range(1, 16))]
 SALTS = 32
 #: Ids up to this number, some 8 MB, are sent to every task rather than moving all texts.
 MOST_SENT = 1_000_000
-#: Shingles asked for up to this number are told to every task as a table of bits, 16 or more for each; with more, all shingles are joined.
+#: Keys asked for up to this number are told to every task as a table of bits, 8 or more for each, and one of sizes; with more, all keys are joined.
 MOST_KEYS = 16_000_000
 #: A table of counts of shingles: slots, and rows that it is passed on in. How many of the rarest shingles must be shared, if a text has as many.
 SLOT_BITS, SLOT_ROWS, SHARED = 20, 64, 6
@@ -61,8 +67,6 @@ END_SHARE, END_BOUND, FINAL_SHARE = 0.003, 0.015, 0.02
 #: The weight of what a form looks like against the counts, in texts.
 PRIOR = 2
 
-_WORD = re.compile(r"[㐀-鿿]|[^\W㐀-鿿]+")
-_PLAIN_WORD = re.compile(r"\w+", re.ASCII)
 _TOKEN = re.compile(r"[㐀-鿿]|[^\W㐀-鿿]+|\+(?=\d)|[^\w\s]")
 _STOP = re.compile(r"[.!?。！？｡؟।]+[\"'”’»）)\]`*_]*$")
 _MARK = re.compile(r"(?:\.{3,}|…+|\[(?:\.{3}|…)\]|[\[(<{（【]\s*(?:\.{3}|…)?\s*(?:message |text |output |content )?(?:truncated|cut(?: off)?|clipped|snip(?:ped)?|more|continued|cont\.?|gekürzt|abgeschnitten|tronqué|suite|省略|截断|已截断|未完|未完待续)[^\])>}）】\n]{0,40}[\])>}）】])\s*$", re.I)
@@ -184,31 +188,97 @@ def drawn_cut(text: str, code: int) -> str:
     return text[:at] + ("\ufffd" if ord(text[at]) > 127 and code >> 48 & 1 else "")
 
 
-class _Codes(dict):
-    """64-bit codes of words, remembered by the worker within a bound."""
+_POINTS, _FACTOR = 0x110000, 0x9E3779B97F4A7C15
+#: Characters of texts that are taken apart at once.
+_PART = 1 << 18
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = code = xxhash.xxh3_64_intdigest(word)
-        return code
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """By character: 0 outside words, 1 within, 2 a word of its own, as CJK characters are."""
+    kinds = np.zeros(_POINTS, dtype=np.uint8)
+    for m in re.finditer(r"\w+", "".join(map(chr, range(_POINTS)))):
+        kinds[m.start() : m.end()] = 1
+    kinds[0x3400:0xA000] = 2
+    return kinds
+
+
+@functools.cache
+def _values() -> np.ndarray:
+    return np.random.default_rng(20240301).integers(1, 2**64, size=_POINTS, dtype=np.uint64)
+
+
+@functools.cache
+def _powers(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers 0, 1, ... of the factor and of its inverse."""
+    n = 1 << width
+    return tuple(np.cumprod(np.array([1, *[0] * (n - 1)], dtype=np.uint64) + np.where(np.arange(n) > 0, np.uint64(f), np.uint64(0)), dtype=np.uint64) for f in (_FACTOR, pow(_FACTOR, -1, 1 << 64)))
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode(), dtype=np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-_CODES = _Codes()
+def _places(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end: runs of word characters; CJK characters stand alone."""
+    kind = _kinds()[points]
+    begins, ends = kind != 0, kind != 0
+    within = (kind[1:] == 1) & (kind[:-1] == 1)
+    begins[1:] &= ~within
+    ends[:-1] &= ~within
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
-def words_of(text: str) -> list[str]:
-    """Runs of word characters; CJK characters stand alone."""
-    return (_PLAIN_WORD if text.isascii() else _WORD).findall(text)
+def _spelt(points: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit codes of the strings between these places: polynomials of their characters' values, mixed."""
+    if len(points) > 4 * _PART and len(begins):
+        points, begins, ends = points[begins[0] : ends[-1]], begins - begins[0], ends - begins[0]
+        if half := len(begins) // 2:
+            at = begins[half]
+            return np.concatenate([_spelt(points[:at], begins[:half], ends[:half]), _spelt(points[at:], begins[half:] - at, ends[half:] - at)])
+    n = len(points)
+    powers, inverse = _powers(max(_PART.bit_length(), n.bit_length()))
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(_values()[points] * powers[:n], out=sums[1:])
+    x = (sums[ends] - sums[begins]) * inverse[begins]
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xC2B2AE3D27D4EB4F)
+    return x ^ (x >> np.uint64(29))
 
 
-def _signed(code: int) -> int:
-    return code - (1 << 64) if code >> 63 else code
+def _parts(texts: list[str]) -> Iterator[list[str]]:
+    part, chars = [], 0
+    for t in texts:
+        part.append(t)
+        chars += len(t) + 1
+        if chars >= _PART:
+            yield part
+            part, chars = [], 0
+    if part:
+        yield part
+
+
+def word_codes(texts: list[str]) -> list[np.ndarray]:
+    """The codes of the words of each text."""
+    out = []
+    for part in _parts(texts):
+        points = _points("\n".join(part))
+        begins, ends = _places(points)
+        out += np.split(_spelt(points, begins, ends), np.searchsorted(begins, np.cumsum([len(t) + 1 for t in part])[:-1]))
+    return out
+
+
+def string_codes(strings: list[str]) -> np.ndarray:
+    """The code of each string, which is that of the word if it is one."""
+    out = [np.zeros(0, dtype=np.uint64)]
+    for part in _parts(strings):
+        ends = np.cumsum([len(x) for x in part])
+        out.append(_spelt(_points("".join(part)), np.append(0, ends[:-1]), ends))
+    return np.concatenate(out)
 
 
 def codes_of_words(texts: list[list[str]]) -> list[np.ndarray]:
-    code = _CODES.__getitem__
-    return [np.fromiter(map(code, ws), dtype=np.uint64, count=len(ws)) for ws in texts]
+    return [string_codes(ws) for ws in texts]
 
 
 def shingle_codes(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -314,7 +384,10 @@ class _Votes:
     """What a partition's texts say about closing words, summed up."""
 
     def __init__(self) -> None:
-        self.words: Counter = Counter()
+        self.words, self.times = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.lines: Counter = Counter()
+        self.last_lines: Counter = Counter()
+        self.chars = 0
         self.ends: Counter = Counter()
         self.shut: Counter = Counter()
         self.on: Counter = Counter()
@@ -324,16 +397,26 @@ class _Votes:
 
     def count(self, codes: list[np.ndarray]) -> None:
         """All words but the last of each text, by their codes."""
-        if codes:
-            own, times = np.unique(np.concatenate([c[:-1] for c in codes]), return_counts=True)
-            for c, n in zip(own.view(np.int64).tolist(), times.tolist()):
-                self.words[c] += n
+        own, times = np.unique(np.concatenate([self.words[:0], *(c[:-1] for c in codes)]), return_counts=True)
+        self.words, at = np.unique(np.concatenate([self.words, own]), return_inverse=True)
+        self.times = np.bincount(at, weights=np.concatenate([self.times, times]), minlength=len(self.words)).astype(np.int64)
 
     def read(self, text: str) -> None:
-        lines = text.split("\n")
-        self.ends.update([line[line.rfind(" ") + 1 :].strip(_SIGNS) for line in lines[:-1] if line])
-        on, shut, classes = self.on, self.shut, _CLASSES
-        for line in lines:
+        """Lines are kept up to a number of characters, as many come again."""
+        *lines, last = text.split("\n")
+        self.lines.update(lines)
+        self.last_lines[last] += 1
+        self.chars += len(text)
+        if self.chars > 16_000_000:
+            self.tally()
+
+    def tally(self) -> None:
+        on, shut, classes = self.on, self.shut, _CLASSES.__getitem__
+        for line, n in self.lines.items():
+            if line:
+                self.ends[line[line.rfind(" ") + 1 :].strip(_SIGNS)] += n
+        self.lines.update(self.last_lines)
+        for line, n in self.lines.items():
             if line[:1] in _NO_PHRASE_FRONT:
                 continue
             line = line.rstrip()
@@ -342,27 +425,32 @@ class _Votes:
                 line = line[: mark.start()].rstrip() if mark else line
             if not is_phrase(line):
                 continue
-            ts, kind = _tokens(line), _kind(line)
-            last, c2, c1 = len(ts) - 1, "", ""
-            for k, t in enumerate(ts):
-                c = classes[t]
-                key = (kind, c2, c1, "9" if c == "9" else t)
-                if k < last:
-                    on[key] += 1
-                elif not _STOP.search(line):
-                    shut[key] += 1
-                c2, c1 = c1, c
+            ts = _tokens(line)
+            cs = list(map(classes, ts))
+            *keys, last = zip(repeat(_kind(line)), ["", "", *cs], ["", *cs], ["9" if c == "9" else t for c, t in zip(cs, ts)])
+            if n == 1:
+                on.update(keys)
+            else:
+                for key in keys:
+                    on[key] += n
+            if not _STOP.search(line):
+                shut[last] += n
+        self.lines, self.last_lines, self.chars = Counter(), Counter(), 0
 
     def batches(self) -> Iterator[pa.RecordBatch]:
-        ends = {_signed(_CODES[w]): n for w, n in self.ends.items()}
-        words, times = list(self.words), list(self.words.values())
-        for k in range(0, len(words), _CHUNK):
-            part = words[k : k + _CHUNK]
-            yield _batch(state=["word"] * len(part), word=part, went_on=times[k : k + _CHUNK], closed=[ends.get(w, 0) for w in part])
+        self.tally()
+        closed = np.zeros(len(self.words), dtype=np.int64)
+        ends, times = string_codes(list(self.ends)), np.array(list(self.ends.values()), dtype=np.int64)
+        at = np.searchsorted(self.words, ends)
+        known = (np.append(self.words, np.uint64(0))[at] == ends) & (at < len(self.words))
+        closed[at[known]] = times[known]
+        for k in range(0, len(self.words), _CHUNK):
+            part = self.words[k : k + _CHUNK].view(np.int64)
+            yield _batch(state=["word"] * len(part), word=part, went_on=self.times[k : k + _CHUNK], closed=closed[k : k + _CHUNK])
         keys = list(self.shut.keys() | self.on.keys())
         for k in range(0, len(keys), _CHUNK):
             part = keys[k : k + _CHUNK]
-            context = {name: [key[i] for key in part] for i, name in enumerate(_CONTEXT)}
+            context = {name: list(column) for name, column in zip(_CONTEXT, zip(*part))}
             yield _batch(state=["phrase"] * len(part), closed=[self.shut[key] for key in part], went_on=[self.on[key] for key in part], **context)
         slots = np.minimum(self.slots, 0xFFFF).astype(np.uint16).view(np.int64).reshape(SLOT_ROWS, -1)
         held = np.flatnonzero(slots.any(axis=1))
@@ -390,15 +478,14 @@ def _profiles(docs: DataFrame) -> DataFrame:
         votes = _Votes()
         for b in batches:
             out: dict[str, list] = {f: [] for f in ("doc_id", "source", "copy_of", "n_chars", "state", "form", "kind", "prev2", "prev", "last")}
-            texts = []
+            bares = []
             for i, s, t in zip(*(c.to_pylist() for c in b.columns)):
                 state, line, form = ending(t)
                 if state == "blank":
                     continue
                 code = xxhash.xxh3_64_intdigest(t)
                 bare = bare_of(t, state)
-                words = words_of(bare)
-                texts.append(words)
+                bares.append(bare)
                 votes.read(t)
                 votes.forms[state, form] += 1
                 cut_state, _, cut_form = ending(drawn_cut(t, code))
@@ -407,20 +494,19 @@ def _profiles(docs: DataFrame) -> DataFrame:
                 shut = closing(_MARK.sub("", line).rstrip() or line) if state == "open" else ("", "", "", "")
                 for f, v in zip(out, (i, s, code - (1 << 63), len(bare), state, form, *shut)):
                     out[f].append(v)
-            coded = codes_of_words(texts)
+            coded = word_codes(bares)
             votes.count(coded)
             codes, starts = shingles_of(coded)
             votes.slots += np.bincount(_slot(codes), minlength=len(votes.slots)).astype(np.uint32)
             answers, asks = [], []
-            for keys, ws, state in zip(head_keys(codes, starts), texts, out["state"]):
+            for keys, ws, state in zip(head_keys(codes, starts), coded, out["state"]):
                 answers.append(np.concatenate(keys).tolist())
                 # Beginnings that don't reach the last word; a text of up to five words asks nothing.
                 m = len(ws) - SHINGLE
                 own = int(np.searchsorted(_EDGES[1:], m, side="right"))
                 asking = state != "whole" and own
                 asks.append([*keys[own - 1].tolist(), *keys[-1].tolist()] if asking else None)
-            words = [_signed(_CODES[w]) for w in out["last"]]
-            yield _batch(**out, answers=answers, asks=asks, word=words)
+            yield _batch(**out, answers=answers, asks=asks, word=string_codes(out["last"]).view(np.int64))
             if len(votes.words) + len(votes.on) > 400_000:
                 yield from votes.batches()
         yield from votes.batches()
@@ -433,6 +519,68 @@ def _keys(kind: Column, prev2: Column, prev: Column, last: Column) -> list[Colum
     return [F.xxhash64(F.lit(0), kind, prev2, prev, last), F.xxhash64(F.lit(1), kind, prev2, prev), F.xxhash64(F.lit(2), kind, prev, last), F.xxhash64(F.lit(3), kind, prev2)]
 
 
+def _levels() -> list[Column]:
+    """All keys that a closing asks for: its contexts, the beginnings of words, the word."""
+    return [*_keys(*map(F.col, _CONTEXT)), F.xxhash64(F.lit(4), "kind", "prev", F.substring("last", 1, _STEM)), F.xxhash64(F.lit(5), "word")]
+
+
+_BIT_FACTORS = np.array([1, 0x9E3779B97F4A7C15], dtype=np.uint64)
+
+
+class _Marks:
+    """What keys are asked for: two bits for each, and by other bits of the keys the least size of those that ask."""
+
+    def __init__(self, n: int, asked: Iterable[tuple[np.ndarray, np.ndarray]]) -> None:
+        """asked: n keys and the sizes that ask for them, in parts."""
+        bits, slots = max(16, (8 * n).bit_length()), min(24, max(16, n.bit_length()))
+        self.shift, self.slot_shift = np.uint64(64 - bits), np.uint64(64 - slots)
+        marked, self.least = np.zeros(1 << bits, dtype=bool), np.full(1 << slots, 0xFFFF, dtype=np.uint16)
+        for keys, sizes in asked:
+            for k in range(len(_BIT_FACTORS)):
+                marked[self._bits(keys, k)] = True
+            np.minimum.at(self.least, self._slots(keys), np.minimum(sizes, 0xFFFE).astype(np.uint16))
+        self.marked = np.packbits(marked)
+
+    def _bits(self, keys: np.ndarray, k: int) -> np.ndarray:
+        return ((keys * _BIT_FACTORS[k]) >> self.shift).astype(np.int64)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0xC2B2AE3D27D4EB4F)) >> self.slot_shift).astype(np.int64)
+
+    def met(self, keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Places of the keys that may be asked for by something of a smaller size; no other is."""
+        hit = np.arange(len(keys))
+        for k in range(len(_BIT_FACTORS)):
+            at = self._bits(keys[hit], k)
+            hit = hit[(self.marked[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)]
+        return hit[np.minimum(sizes[hit], 0xFFFF) > self.least[self._slots(keys[hit])]]
+
+
+def _marks(asked: DataFrame) -> Broadcast | None:
+    """The marks of rows (key, size) for every task, or none beyond MOST_KEYS rows, which are counted."""
+    n = asked.count()
+    if n > MOST_KEYS:
+        return None
+    parts = ((b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in asked.toArrow().to_batches())
+    return asked.sparkSession.sparkContext.broadcast(_Marks(n, parts))
+
+
+def _met(df: DataFrame, keys: Column, size: Column, values: list[str], marks: Broadcast | None) -> DataFrame:
+    """(key, *values): a row for each key in the arrays, without those that nothing of a smaller size asks for, as far as marks tell."""
+    if marks is None:
+        return df.select(F.explode(keys).alias("key"), *values)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column(0).flatten().to_numpy().view(np.uint64)
+            row = np.repeat(np.arange(b.num_rows), b.column(0).value_lengths().fill_null(0).to_numpy())
+            hit = marks.value.met(own, b.column(1).to_numpy()[row])
+            row = pa.array(row[hit])
+            yield pa.RecordBatch.from_arrays([pa.array(own[hit].view(np.int64)), *(c.take(row) for c in b.columns[2:])], names=["key", *values])
+
+    return df.select(keys.alias("keys"), size.alias("of"), *values).mapInArrow(kept, S.StructType([S.StructField("key", S.LongType()), *df.select(*values).schema.fields]))
+
+
 _STEM = 40
 
 
@@ -449,9 +597,10 @@ def _counts(profile: DataFrame, asked: DataFrame) -> DataFrame:
     stems = F.when((n > 0) & ~last.rlike(r"^\W"), F.transform(F.sequence(F.lit(1), n), lambda k: F.xxhash64(F.lit(4), F.col("kind"), F.col("prev"), F.substring(last, F.lit(1), k)))).otherwise(F.array().cast("array<bigint>"))
     *near, far = _keys(*map(F.col, _CONTEXT))
     keys = F.when(F.col("met"), F.concat(F.array(*near, far), stems)).otherwise(F.array(far))
-    keyed = votes.select(F.explode(keys).alias("key"), "closed", "went_on")
-    words = profile.where("doc_id is null and state = 'word'").join(_sent(asked.select("word").distinct()), "word", "left_semi").select(F.xxhash64(F.lit(5), "word").alias("key"), "closed", "went_on")
-    return keyed.unionByName(words).groupBy("key").agg(F.sum("closed").alias("closed"), F.sum("went_on").alias("went_on"))
+    words = profile.where("doc_id is null and state = 'word'").select(F.array(F.xxhash64(F.lit(5), "word")).alias("keys"), "closed", "went_on")
+    marks = _marks(asked.select(F.explode(F.array(*_levels())).alias("key"), F.lit(0).alias("size")))
+    keyed = _met(votes.select(keys.alias("keys"), "closed", "went_on").unionByName(words), F.col("keys"), F.lit(1), ["closed", "went_on"], marks)
+    return keyed.groupBy("key").agg(F.sum("closed").alias("closed"), F.sum("went_on").alias("went_on"))
 
 
 def _verdicts(asked: DataFrame, counts: DataFrame, all_words: int, all_texts: int) -> DataFrame:
@@ -465,8 +614,7 @@ def _verdicts(asked: DataFrame, counts: DataFrame, all_words: int, all_texts: in
     two tokens before the last, of the last two, or after the last but two are counted instead. All bounds are shares of
     the corpus or errors of a share, so a text is judged alike at every size.
     """
-    stem = F.xxhash64(F.lit(4), "kind", "prev", F.substring("last", 1, _STEM))
-    keys = [*_keys(*map(F.col, _CONTEXT)), stem, F.xxhash64(F.lit(5), "word")]
+    keys = _levels()
     each = asked.select(*_CONTEXT, "texts", F.posexplode(F.array(*keys)).alias("level", "key")).join(counts, "key", "left")
     sums = [F.coalesce(F.max(F.when(F.col("level") == i, F.col(c))), F.lit(0)).alias(f"{c}{i}") for i in range(len(keys)) for c in ("closed", "went_on")]
     s = each.groupBy(*_CONTEXT, "texts").agg(*sums)
@@ -506,18 +654,17 @@ def open_forms(rows: list[tuple[str, str, int, int]]) -> set[str]:
 
 
 class _Long:
-    """The words of a longer text and its shingles in order of their codes."""
+    """Where the words of a longer text are, and its shingles in order of their codes."""
 
     def __init__(self, text: str) -> None:
-        self.text, self.words = text, words_of(text)
-        codes = shingle_codes([self.words])[0]
+        points = _points(text)
+        self.text, (self.begins, self.ends) = text, _places(points)
+        codes = shingles_of([_spelt(points, self.begins, self.ends)])[0]
         self.order = np.argsort(codes, kind="stable")
         self.ranked = codes[self.order]
 
-    def end_of(self, word: int) -> int:
-        """Where a word of the text ends."""
-        found = (_PLAIN_WORD if self.text.isascii() else _WORD).finditer(self.text)
-        return next(itertools.islice(found, word, None)).end()
+    def word(self, at: int) -> str:
+        return self.text[self.begins[at] : self.ends[at]]
 
 
 def unmarked(text: str) -> str:
@@ -525,12 +672,15 @@ def unmarked(text: str) -> str:
 
 
 class _Short:
-    """A shorter text without its mark, its words and the shingles of its whole words."""
+    """A shorter text without its mark, its last word and the shingles of its whole words."""
 
     def __init__(self, text: str) -> None:
         self.bare = unmarked(text)
-        self.words = words_of(self.bare)
-        self.codes = shingle_codes([self.words[:-1]])[0] if len(self.words) > SHINGLE else np.zeros(0, dtype=np.uint64)
+        points = _points(self.bare)
+        begins, ends = _places(points)
+        self.words = len(begins)
+        self.last = self.bare[begins[-1] : ends[-1]] if self.words else ""
+        self.codes = shingles_of([_spelt(points, begins, ends)[:-1]])[0] if self.words > SHINGLE else np.zeros(0, dtype=np.uint64)
         self.distinct = len(np.unique(self.codes))
 
 
@@ -558,7 +708,7 @@ def alignment(short: str, long: str) -> str | None:
     None if less than SIMILARITY of the shorter text's shingles are in the longer one, or if its end isn't there.
     """
     asking = _SHORTS[short]
-    s, xs, x = asking.bare, asking.words, asking.codes
+    s, last, x = asking.bare, asking.last, asking.codes
     if not len(x):
         return None
     y = _LONGS[long]
@@ -571,12 +721,12 @@ def alignment(short: str, long: str) -> str | None:
     shift = float(np.median(y.order[lo[once]] - once)) if len(once) else 0.0
     places = y.order[lo[p] : hi[p]]
     q = int(places[np.argmin(np.abs(places - p - shift))])
-    at = q + len(xs) - 1 - p
-    if at >= len(y.words):
-        return "same" if at == len(y.words) else None
-    if y.words[at] != xs[-1]:
-        return "cut" if y.words[at].startswith(xs[-1]) else None
-    rest, behind = long[y.end_of(at) :], s[s.rfind(xs[-1]) + len(xs[-1]) :]
+    at = q + asking.words - 1 - p
+    if at >= len(y.begins):
+        return "same" if at == len(y.begins) else None
+    if y.word(at) != last:
+        return "cut" if y.word(at).startswith(last) else None
+    rest, behind = long[y.ends[at] :], s[s.rfind(last) + len(last) :]
     rest = rest[len(behind) :] if rest.startswith(behind) else rest
     if not rest.strip():
         return "same"
@@ -643,36 +793,34 @@ def _holding(left: DataFrame, rows: DataFrame, docs: DataFrame, slots: np.ndarra
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             # As in _Short; asking texts have more than SHINGLE words, but for a mark, and then no pair is aligned.
-            codes, starts = shingle_codes([words_of(unmarked(t))[:-1] for t in b.column(1).to_pylist()])
+            codes, starts = shingles_of([c[:-1] for c in word_codes([unmarked(t) for t in b.column(1).to_pylist()])])
             found = [rarest(own, counts.value) for own in np.split(codes, starts[1:])] if len(starts) else []
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[1] for f in found], pa.int32()), pa.array([f[0].view(np.int64) for f in found], pa.list_(pa.int64()))], names=["short_id", "least", "keys"])
 
-    asked = checkpointed(_texts_of(docs, left.select(F.col("short_id").alias("doc_id"))).mapInArrow(keys_of, "short_id bigint, least int, keys array<bigint>"))
+    texts = docs.select("doc_id", "text").join(_sent(left.select(F.col("short_id").alias("doc_id"))), "doc_id", "left_semi")
+    asked = checkpointed(texts.mapInArrow(keys_of, "short_id bigint, least int, keys array<bigint>").dropDuplicates(["short_id"]).join(left, "short_id"))
     counts.destroy()
-    n, bits, shift = asked.agg(F.sum(F.size("keys"))).first()[0] or 0, None, np.uint64(0)
-    if n <= MOST_KEYS:
-        width = max(16, (16 * n).bit_length())
-        shift, marked = np.uint64(64 - width), np.zeros(1 << width, dtype=bool)
-        for part in asked.select(F.explode("keys").alias("key")).toArrow().column(0).chunks:
-            marked[(part.to_numpy().view(np.uint64) >> shift).astype(np.int64)] = True
-        bits = sc.broadcast(np.packbits(marked))
+    keyed = asked.select("short_id", "size", "least", F.explode("keys").alias("key"))
+    marks = _marks(keyed.select("key", "size"))
 
     def held_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes, starts = shingle_codes([words_of(t) for t in b.column(1).to_pylist()])
+            texts = b.column(1).to_pylist()
+            codes, starts = shingles_of(word_codes(texts))
             each = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(codes))))
-            if bits is not None:
-                at = (codes >> shift).astype(np.int64)
-                hit = np.flatnonzero(bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+            # As long as in the profile, or longer by a mark.
+            chars = np.array([len(t.rstrip()) for t in texts], dtype=np.int32)
+            if marks is not None:
+                hit = marks.value.met(codes, chars[each])
                 codes, each = codes[hit], each[hit]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(each)), pa.array(codes.view(np.int64))], names=["long_id", "key"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(each)), pa.array(chars[each]), pa.array(codes.view(np.int64))], names=["long_id", "chars", "key"])
 
     # A key that a longer text has twice counts twice; pairs are verified where they are aligned.
-    held = docs.select("doc_id", "text").mapInArrow(held_by, "long_id bigint, key bigint")
-    met = held.join(asked.select("short_id", "least", F.explode("keys").alias("key")), "key").where("short_id <> long_id")
+    held = docs.select("doc_id", "text").mapInArrow(held_by, "long_id bigint, chars int, key bigint")
+    met = held.join(keyed, "key").where("short_id <> long_id and chars > size")
     pairs = checkpointed(met.groupBy("short_id", "long_id").agg(F.count("*").alias("n"), F.first("least").alias("least")).where("n >= least").select("short_id", "long_id"))
-    if bits is not None:
-        bits.destroy()
+    if marks is not None:
+        marks.destroy()
     lengths = rows.select(F.col("doc_id").alias("long_id"), "n_chars").join(_sent(pairs.select("long_id").distinct()), "long_id", "left_semi").groupBy("long_id").agg(F.max("n_chars").alias("n_chars"))
     return pairs.join(lengths, "long_id").join(left, "short_id").where("n_chars > size").select("short_id", "long_id")
 
@@ -681,7 +829,8 @@ def _shown(rows: DataFrame, docs: DataFrame, slots: np.ndarray) -> DataFrame:
     """(copy_of, cut, whole) of the texts without a whole ending for which a longer near-copy shows what follows."""
     asking = checkpointed(rows.where("asks is not null").dropDuplicates(["copy_of"]).select("copy_of", F.col("doc_id").alias("short_id"), F.col("n_chars").alias("size"), "asks"))
     keyed = asking.select("short_id", "size", F.explode("asks").alias("key"))
-    members = rows.select("doc_id", "n_chars", F.explode("answers").alias("key"))
+    marks = _marks(keyed.select("key", "size"))
+    members = _met(rows, F.col("answers"), F.col("n_chars"), ["doc_id", "n_chars"], marks)
 
     # First the longest member of each octave of length, which a map-side aggregate finds.
     octave = F.length(F.bin("n_chars"))
@@ -690,6 +839,8 @@ def _shown(rows: DataFrame, docs: DataFrame, slots: np.ndarray) -> DataFrame:
     )
     met = keyed.join(firsts, "key").where("most > size")
     first = checkpointed(met.select("short_id", "long_id").distinct())
+    if marks is not None:
+        marks.destroy()
     shown = checkpointed(_aligned(first, docs))
 
     # Then, for those that none of these shows to be cut, every other longer text that can be a near-copy.

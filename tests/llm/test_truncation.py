@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -218,3 +219,48 @@ def test_every_pair_at_the_threshold(spark, monkeypatch):
         monkeypatch.setattr(T, "MOST_KEYS", most)
         got = {x.doc_id for x in T.truncated_documents(spark.createDataFrame(every, DOC)).collect() if x.by == "copy"}
         assert got == want
+
+
+def test_word_codes(monkeypatch):
+    """The words are those of the pattern, equal codes are equal words, wherever they stand."""
+    texts = ["", "int f_1(void);", "其中 3 个。我们ab中c", "Größe d’été\n\u4dc0x\u4dc1", "a" * 50, "x ", " y", "\U0001d400b ٣", "ab ba aab aba baa", "word " * 40 + "end"]
+    pattern = re.compile(r"[㐀-鿿]|[^\W㐀-鿿]+")
+    words = [pattern.findall(t) for t in texts]
+    for part in (T._PART, 1, 8):
+        monkeypatch.setattr(T, "_PART", part)
+        codes = T.word_codes(texts)
+        assert [len(c) for c in codes] == [len(w) for w in words]
+        assert all((c == T.string_codes(w)).all() for c, w in zip(codes, words))
+        met = {w: c for ws, cs in zip(words, codes) for w, c in zip(ws, cs.tolist())}
+        assert len(set(met.values())) == len(met)
+    assert T.word_codes([]) == [] and len(T.string_codes([])) == 0
+
+
+def test_marks_leave_out_no_key_asked_for():
+    r = np.random.default_rng(3)
+    keys, sizes = r.integers(0, 2**64, 5000, dtype=np.uint64), r.integers(1, 90_000, 5000)
+    marks = T._Marks(5000, [(keys[:2000], sizes[:2000]), (keys[2000:], sizes[2000:])])
+    assert len(marks.met(keys, sizes + 1)) == 5000
+    # What is no longer than those that ask is left out, nearly always, and so is what nothing asks for.
+    short = sizes < 0xFFFE
+    assert len(marks.met(keys[short], sizes[short])) < 0.1 * short.sum()
+    other = r.integers(0, 2**64, 50_000, dtype=np.uint64)
+    assert len(marks.met(other, np.full(50_000, 90_000))) < 0.03 * 50_000
+    assert len(T._Marks(0, []).met(keys, sizes)) == 0
+
+
+def test_only_what_is_asked_for_is_shuffled(spark):
+    """Rows written to shuffles, as Spark counts them."""
+    docs, cut = corpus()
+    docs += [(1000 + i, "x", docs[1][2] + f"\nNumber {i} of the many: " + " ".join(f"m{i}x{k}" for k in range(80)) + ".", None) for i in range(1200)]
+    sc = spark.sparkContext
+
+    def stages() -> dict[int, int]:
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {x.stageId(): x.shuffleWriteRecords() for x in map(found.apply, range(found.size()))}
+
+    before = max(stages(), default=-1)
+    got = {x.doc_id for x in T.truncated_documents(spark.createDataFrame(docs, DOC)).collect()}
+    assert got == cut
+    written = sum(n for i, n in stages().items() if i > before)
+    assert 0 < written < 50_000
